@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
+from tessera.llm import contamination, simhash, suffixes
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash": lambda s, d: simhash.op5_simhash(_docs(s, d)),
+        "op8_decontamination": lambda s, d: contamination.op8_decontamination(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
+        "op10_suffix_dedup": lambda s, d: suffixes.op10_suffix_dedup(_docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_decontamination": contamination.ORACLE,
+    }
