@@ -161,7 +161,7 @@ def near_places(lists: list[np.ndarray], span: int) -> list[tuple[int, int]]:
 
 def _search(frame: pd.DataFrame, wanted: list[tuple[tuple[bytes, ...], list[int]]], slop: int) -> pd.DataFrame:
     """Hits of one block: block, place of the document in it, its items, merged spans of hit words."""
-    empty = pd.DataFrame({"block": [], "doc": [], "items": [], "span_starts": [], "span_ends": []})
+    empty = pd.DataFrame(columns=["block", "doc", "items", "span_starts", "span_ends"], dtype=object)
     head = frame[frame["term"].isna()]
     if head.empty:
         return empty
