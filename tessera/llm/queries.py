@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import contamination, simhash, suffixes
+from tessera.llm import contamination, packing, repair, simhash, suffixes
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The vocabulary file's place; files stay where the box has them."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_packing": lambda s, d: packing.op3_packing(_docs(s, d), _tokenizer("word_bpe_49k.json")),
         "op5_simhash": lambda s, d: simhash.op5_simhash(_docs(s, d)),
+        "op7_token_ids": lambda s, d: repair.op7_token_ids(_docs(s, d), _tokenizer("byte_bpe_50k.json")),
         "op8_decontamination": lambda s, d: contamination.op8_decontamination(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op10_suffix_dedup": lambda s, d: suffixes.op10_suffix_dedup(_docs(s, d)),
     }
