@@ -138,7 +138,7 @@ class Scorer:
         split = [t.split() for t in texts]
         if len(self.rows) > CACHE:
             self.rows, self.table = {}, self.table[:0]
-        missing = list(set().union(*split) - self.rows.keys())
+        missing = list(set().union(*split).difference(self.rows))
         if missing:
             self.table = np.concatenate([self.table, self._sums(missing)])
             self.rows.update(zip(missing, range(len(self.rows), len(self.rows) + len(missing)), strict=True))

@@ -6,9 +6,10 @@ string of a document, so equal strings have their anchors at equal places, and a
 corpus rules out every string it stands for. Around an anchor lie at most REACH bytes to its left and LENGTH bytes
 from it on: its context.
 
-1. Anchors with hashes of their gram and their context are written to the shared folder.
-2. Grams that occur once are dropped (a partial aggregation, whatever the skew). Contexts that occur again as they
-   are need no sorting: they are repeats as a whole.
+1. Each task finds the anchors of its documents, with hashes of their grams and contexts. Of equal contexts in a task
+   only one goes on, and all of them are known to be repeats (this also evens out grams that most documents share).
+2. One shuffle brings a gram's contexts together, in order; they are read as a stream, so that a gram of any size
+   needs no memory. Equal contexts are repeats as a whole and need no sorting. Grams of one context end here.
 3. Other grams have different contexts. One context of each kind is taken from the texts, and the contexts of a gram
    are suffix-sorted twice, to the right and, reversed, to the left: multikey quicksort by eight-byte symbols to a
    shallow depth, then blind tries for the groups that still agree. Common-prefix classes of both orders give, for
@@ -104,23 +105,44 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return where, gram[one], context[one]
 
 
-ANCHORS = "gram long, context long, id long, th long, pos int, right int"
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    def rows(ids: list, ths: list, texts: list[bytes]) -> pa.RecordBatch:
+ANCHOR, SPAN, ONE = 0, 1, 2  # kinds of rows: an anchor; a stretch of repeated bytes (pos to right); one context of a gram that has several
+ROWS = "kind int, gram long, context long, id long, th long, pos int, right int, many boolean"
+_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+
+
+def _combined(gram, context, ids, th, pos, right) -> pa.RecordBatch:
+    """Rows of a task's anchors: one for each different context, and the merged stretches of those that occur again."""
+    order = np.lexsort((context, gram))
+    g, c = gram[order], context[order]
+    first = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+    group = np.cumsum(first) - 1
+    size = np.bincount(group)
+    again = np.sort(order[size[group] > 1])  # in the order of documents and places
+    begin, end = pos[again] - np.minimum(pos[again], REACH), pos[again] + right[again]
+    new = np.ones(len(again), bool)
+    new[1:] = (ids[again][1:] != ids[again][:-1]) | (th[again][1:] != th[again][:-1]) | (begin[1:] > end[:-1]) | (begin[1:] < begin[:-1])
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(again)) - 1 if len(again) else start
+    lead, span = order[first], again[start]
+    n, m = len(lead), len(span)
+    both = lambda a, b: np.concatenate([a, b])
+    spread = _mix(ids[span].astype(np.uint64) + begin[start].astype(np.uint64)).view(np.int64)  # stretches go anywhere
+    columns = [
+        np.repeat(np.array([ANCHOR, SPAN], np.int32), [n, m]), both(gram[lead].view(np.int64), spread), both(context[lead].view(np.int64), np.zeros(m, np.int64)), both(ids[lead], ids[span]),
+        both(th[lead], th[span]), both(pos[lead], begin[start]).astype(np.int32), both(right[lead], end[last]).astype(np.int32), both(size > 1, np.ones(m, bool)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_NAMES)
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], block: int = 4 << 20, most: int = 400_000) -> Iterator[pa.RecordBatch]:
+    def found(ids: list, ths: list, texts: list[bytes]) -> tuple:
         ends = np.cumsum([len(t) for t in texts])
         where, gram, context = anchors(np.frombuffer(b"".join(texts), np.uint8), ends)
         of = np.searchsorted(ends, where, side="right")
         starts = np.concatenate([[0], ends[:-1]])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.array(ids, np.int64)[of]), pa.array(np.array(ths, np.int64)[of]),
-                pa.array((where - starts[of]).astype(np.int32)), pa.array(np.minimum(LENGTH, ends[of] - where).astype(np.int32)),
-            ],
-            names=["gram", "context", "id", "th", "pos", "right"],
-        )
+        return gram, context, np.array(ids, np.int64)[of], np.array(ths, np.int64)[of], where - starts[of], np.minimum(LENGTH, ends[of] - where)
 
+    held: list[tuple] = []
     ids, ths, texts, size = [], [], [], 0
     for batch in batches:
         for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -131,11 +153,77 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iter
             ths.append(h)
             texts.append(bytes(data))
             size += len(data)
-            if size >= most:
-                yield rows(ids, ths, texts)
+            if size >= block:
+                held.append(found(ids, ths, texts))
                 ids, ths, texts, size = [], [], [], 0
+                if sum(len(x[0]) for x in held) >= most:
+                    yield _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
     if texts:
-        yield rows(ids, ths, texts)
+        held.append(found(ids, ths, texts))
+    if sum(len(x[0]) for x in held):
+        yield _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors in order of gram and context -> stretches that are repeats, and one row for each context of a gram with several.
+
+    Works batch by batch and holds one row back; of the running gram only its first context is remembered.
+    """
+    tail = lead = None  # the last row, not yet judged; the first context of the running gram, while it is the only one
+    gram, context, inside = None, None, False  # of the last row judged; whether its gram has several contexts
+
+    def judge(t: pa.Table, end: bool) -> Iterator[pa.Table]:
+        nonlocal tail, lead, gram, context, inside
+        n = t.num_rows - (not end)
+        tail = None if end else t.slice(n)
+        if n <= 0:
+            return
+        g, c = t.column("gram").to_numpy(), t.column("context").to_numpy()
+        same_gram = np.concatenate([[gram is not None and g[0] == gram], g[1:] == g[:-1]])
+        same = same_gram & np.concatenate([[context is not None and c[0] == context], c[1:] == c[:-1]])
+        after = np.append(same[1:], False)
+        many = t.column("many").to_numpy(zero_copy_only=False)
+        g, c, same_gram, same, after, many = (x[:n] for x in (g, c, same_gram, same, after, many))
+        repeat = np.flatnonzero((same | after) & ~many)
+        if len(repeat):
+            rows = t.take(pa.array(repeat))
+            pos, right = rows.column("pos").to_numpy(), rows.column("right").to_numpy()
+            rows = rows.set_column(0, "kind", pa.array(np.full(len(repeat), SPAN, np.int32)))
+            rows = rows.set_column(5, "pos", pa.array((pos - np.minimum(pos, REACH)).astype(np.int32)))
+            yield rows.set_column(6, "right", pa.array((pos + right).astype(np.int32)))
+        starts = np.flatnonzero(~same)
+        run = np.cumsum(~same_gram)  # 0: the gram that was running before
+        contexts = np.bincount(run[starts], minlength=run[-1] + 1)
+        if contexts[0] and not inside and lead is not None and same_gram[0]:
+            yield lead.set_column(0, "kind", pa.array([ONE], pa.int32()))
+            lead, inside = None, True
+        several = contexts > 1
+        several[0] = inside or contexts[0] > 0 if same_gram[0] else False
+        out = starts[several[run[starts]]]
+        if len(out):
+            yield t.take(pa.array(out)).set_column(0, "kind", pa.array(np.full(len(out), ONE, np.int32)))
+        if run[-1]:  # another gram runs now
+            inside = bool(several[-1])
+            lead = None if inside else t.slice(int(starts[run[starts] == run[-1]][0]), 1)
+        gram, context = g[-1], c[-1]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.column(0).to_numpy()
+        passed = np.flatnonzero(kind == SPAN)
+        if len(passed):
+            yield batch.take(pa.array(passed))
+            batch = batch.take(pa.array(np.flatnonzero(kind == ANCHOR)))
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([tail, t]).combine_chunks() if tail is not None else t
+            for out in judge(t, False):
+                yield from out.combine_chunks().to_batches()
+    if tail is not None:
+        for out in judge(tail, True):
+            yield from out.combine_chunks().to_batches()
 
 
 def blind_trie(strings: list[bytes]) -> list[int]:
@@ -307,21 +395,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, begin, end): stretches of bytes to remove, overlapping and in no order; th is the crc32 of the text."""
     ship(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    every = written(keyed.mapInArrow(_anchor_rows, ANCHORS), "anchors")
-    grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
-    hits = written(every.join(grams.select("gram", (F.col("c0") != F.col("c1")).alias("mixed")), "gram"), "repeats")
-    whole = [F.col("id"), F.col("th"), (F.col("pos") - F.least("pos", F.lit(REACH))).alias("begin"), (F.col("pos") + F.col("right")).alias("end")]
-    mixed = hits.where("mixed")
-    kinds = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "pos")).alias("one"))
-    again = mixed.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
-    # one context of each kind, from the texts
-    wanted = kinds.select("gram", "one.*").groupBy("id", "th").agg(F.collect_list(F.struct("gram", "pos")).alias("wanted"))
-    contexts = keyed.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "data", "wanted").mapInArrow(_context_rows, CONTEXTS)
-    crowded = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_CONTEXTS).select("gram", F.lit(True).alias("crowded"))
-    placed = written(contexts.join(crowded, "gram", "left"), "contexts")
-    few = placed.where("crowded is null").select(*[c.split()[0] for c in CONTEXTS.split(", ")])
-    sorted_ = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, SPANS)
-    return hits.where("not mixed").select(*whole).union(again.select(*whole)).union(sorted_).union(_counted_spans(placed.where("crowded")))
+    found = written(keyed.mapInArrow(_anchor_rows, ROWS).repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_classified, ROWS), "repeats")
+    spans = found.where(F.col("kind") == SPAN).select("id", "th", F.col("pos").alias("begin"), F.col("right").alias("end"))
+    ones = found.where(F.col("kind") == ONE).select("gram", "id", "th", "pos")
+    crowded = ones.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_CONTEXTS).select("gram")
+    few = ones
+    if not crowded.isEmpty():
+        few = ones.join(crowded, "gram", "left_anti")
+        spans = spans.union(_counted_spans(_contexts(keyed, ones.join(crowded, "gram", "left_semi"))))
+    contexts = _contexts(keyed, few).repartition("gram").sortWithinPartitions("gram")
+    return spans.union(contexts.mapInArrow(_sorted_spans, SPANS))
+
+
+def _contexts(keyed: DataFrame, ones: DataFrame) -> DataFrame:
+    """The bytes of contexts, from the texts."""
+    wanted = ones.groupBy("id", "th").agg(F.collect_list(F.struct("gram", "pos")).alias("wanted"))
+    return keyed.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "data", "wanted").mapInArrow(_context_rows, CONTEXTS)
 
 
 def _counted_spans(contexts: DataFrame) -> DataFrame:

@@ -15,14 +15,28 @@ WORD, BYTE = "word", "byte"  # word: white space is dropped; byte: it is part of
 _SPACE = "\t\n\r\x0b\x0c \x85\xa0  -     　"
 _PIECES = re.compile(f"[ \n]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+")
 _UNSURE = re.compile("[\x1c-\x1f᠎﻿]|<\\|")
+_TAILED = re.compile(r"(.*[^\W\d_])([!-/:-@\[-`{-~]+)", re.S)
 LONG = 200  # characters of a piece that is too long to keep
 _OWN: dict[tuple[str, str], "Cached"] = {}
 
 
+# the alphabet of byte-level vocabularies: printable bytes stand for themselves, others for characters from U+0100
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _runs(numbers: list[int], n: int) -> list[int]:
+    """How often each of 0 to n - 1 occurs."""
+    out = [0] * n
+    for x in numbers:
+        out[x] += 1
+    return out
+
+
 class Cached:
     """A tokenizer with the ids of up to 2 * `most` pieces kept as bytes (little-endian, 32 bits an id)."""
 
-    def __init__(self, path: str, kind: str, most: int = 250_000):
+    def __init__(self, path: str, kind: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -30,6 +44,12 @@ class Cached:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+        # the same model behind a split at spaces: for single words, whose pieces need no other rule
+        from tokenizers import pre_tokenizers
+
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+
     @classmethod
     def of(cls, path: str, kind: str) -> "Cached":
         """This process's own, which stays between tasks."""
@@ -42,6 +62,29 @@ class Cached:
 
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of pieces that are one word each (letters only, for BYTE behind a space or not), in one call."""
+        from array import array
+
+        mapped = " ".join([w.encode("utf-8").decode("latin-1").translate(_BYTES) for w in words])
+        e = self.bare.encode_batch([mapped], add_special_tokens=False)[0]
+        data, at, out = array("I", e.ids).tobytes(), 0, []
+        for n in _runs(e.word_ids, len(words)):
+            out.append(data[at : at + 4 * n])
+            at += 4 * n
+        return out
+
+    def _parts(self, piece: str) -> tuple[str, ...] | None:
+        """Pieces whose ids in a row are the piece's: a word and the marks behind it; in lower case if case is dropped. None: it has no such parts."""
+        if len(piece) > LONG:
+            return None
+        m = _TAILED.fullmatch(piece)
+        word, tail = m.groups() if m and len(m[1][-1].lower()) == 1 else (piece, "")
+        if self.kind == WORD and word.isascii():
+            word = word.lower()
+        parts = (word, tail) if tail else (word,)
+        return None if parts == (piece,) else parts
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         pieces: list[list[str] | None] = []
@@ -53,29 +96,36 @@ class Cached:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing: set[str] = set()
-        for p in pieces:
-            if p:
-                missing |= set(p) - new.keys()
+        every = set().union(*[p for p in pieces if p])  # looked up once in the large cache, then in one of these only
+        missing = every.difference(new)
         extra: dict[str, bytes] = {}
-        unseen = []
+        unseen, made = set(), []
         for w in missing:
             if w in old:
                 new[w] = old[w]
+                continue
+            parts = self._parts(w)
+            if parts is None:
+                unseen.add(w)
             else:
-                unseen.append(w)
-        for w, ids in zip(unseen, self._library(unseen), strict=True):
+                made.append((w, parts))
+                for p in parts:
+                    if p not in new:
+                        if p in old:
+                            new[p] = old[p]
+                        else:
+                            unseen.add(p)
+        asked = [w for w in unseen if len(w) <= LONG and (w[1:] if w[:1] == " " and self.kind == BYTE else w).isalpha() and (self.kind == BYTE or (w.isascii() and w.islower()))]
+        if asked:
+            new.update(zip(asked, self._words(asked), strict=True))
+        asked = list(unseen.difference(new))
+        for w, ids in zip(asked, self._library(asked), strict=True):
             (new if len(w) <= LONG else extra)[w] = ids
+        for w, parts in made:
+            new[w] = b"".join([new[p] for p in parts])
         whole = iter(self._library([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        out = []
-        for p in pieces:
-            if p is None:
-                out.append(next(whole))
-            elif extra and not extra.keys().isdisjoint(p):
-                out.append(b"".join([new[w] if w in new else extra[w] for w in p]))
-            else:
-                out.append(b"".join(map(new.__getitem__, p)))
-        return out
+        own = {w: new[w] if w in new else extra[w] for w in every}
+        return [next(whole) if p is None else b"".join(map(own.__getitem__, p)) for p in pieces]
 
 
 def in_parts(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:

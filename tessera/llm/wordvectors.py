@@ -97,7 +97,7 @@ class Model:
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
-        missing = set().union(*split, [SAME]) - known.keys()
+        missing = set().union(*split, [SAME]).difference(known)
         for part in _even(list(missing), 50_000):
             known.update(zip(part, self.values(part).tolist(), strict=True))
         same, get = known[SAME], known.__getitem__
