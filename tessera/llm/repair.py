@@ -57,14 +57,14 @@ def compress(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         if len(often) > room:
             often = often[np.argsort(-times[often], kind="stable")[:room]]
         pairs = np.sort(ordered[edge[often]])
-        heads, tails = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        heads[pairs >> np.uint32(16)] = True
-        tails[pairs & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(inside & heads[symbols[:-1]] & tails[symbols[1:]])
-        rule = np.searchsorted(pairs, codes[at])
-        rule[rule == len(pairs)] = 0
-        hit = pairs[rule] == codes[at]
-        at, rule = at[hit], rule[hit]
+        first, second = np.unique(pairs >> np.uint32(16), return_inverse=True), np.unique(pairs & np.uint32(0xFFFF), return_inverse=True)
+        head, tail = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)  # places of symbols among the pairs' symbols, from 1
+        head[first[0]], tail[second[0]] = np.arange(len(first[0])) + 1, np.arange(len(second[0])) + 1
+        table = np.full((len(first[0]) + 1, len(second[0]) + 1), -1, np.int16)
+        table[first[1] + 1, second[1] + 1] = np.arange(len(pairs))
+        rule = np.where(inside, table.ravel()[head[symbols[:-1]] * table.shape[1] + tail[symbols[1:]]], -1)
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1]) if len(at) else np.zeros(0, bool)
         run = np.cumsum(fresh) - 1
         take = (at - at[fresh][run]) % 2 == 0  # of overlapping occurrences every other one, from the left
