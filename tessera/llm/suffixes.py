@@ -14,8 +14,9 @@ from it on: its context.
    are suffix-sorted twice, to the right and, reversed, to the left: multikey quicksort by eight-byte symbols to a
    shallow depth, then blind tries for the groups that still agree. Common-prefix classes of both orders give, for
    each offset, which strings are equal, byte by byte, without comparing pairs.
-4. A gram with more than MAX_CONTEXTS different contexts isn't sorted in one task; its strings are counted by
-   their SHA-256 in a distributed aggregation instead. That is as complete, for any size.
+4. A gram with more than MAX_CONTEXTS different contexts isn't sorted in one task. Its contexts are grouped by longer
+   strings around the gram first; a group that is still too large has its strings counted by their SHA-256 in
+   a distributed aggregation instead. That is as complete, for any size.
 
 Nulls: a null text is empty; a null id is kept. Repeated rows repeat each other's strings. Texts under LENGTH bytes
 stay as they are. Texts are read whole. Empty tables give empty results.
@@ -35,8 +36,10 @@ from tessera.llm.common import NO_ID, ship, written
 
 LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM  # how far before an anchor a string that it stands for may start
+HALF = REACH // 2
 SHALLOW = 64
 MAX_CONTEXTS = 4096
+SLOTS = 1 << 20
 STRIDE = 1 << 17  # windows hashed at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -398,13 +401,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(keyed.mapInArrow(_anchor_rows, ROWS).repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_classified, ROWS), "repeats")
     spans = found.where(F.col("kind") == SPAN).select("id", "th", F.col("pos").alias("begin"), F.col("right").alias("end"))
     ones = found.where(F.col("kind") == ONE).select("gram", "id", "th", "pos")
-    crowded = ones.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_CONTEXTS).select("gram")
-    few = ones
+    # texts without such a context needn't move: a semi-join with at most SLOTS hashes lets few of them through
+    slot = F.pmod(F.xxhash64("id", "th"), F.lit(SLOTS)).alias("slot")
+    likely = keyed.withColumn("slot", slot).join(F.broadcast(ones.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    contexts = written(_contexts(likely, ones), "contexts")
+    crowded = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_CONTEXTS).select("gram")
     if not crowded.isEmpty():
-        few = ones.join(crowded, "gram", "left_anti")
-        spans = spans.union(_counted_spans(_contexts(keyed, ones.join(crowded, "gram", "left_semi"))))
-    contexts = _contexts(keyed, few).repartition("gram").sortWithinPartitions("gram")
-    return spans.union(contexts.mapInArrow(_sorted_spans, SPANS))
+        crowded = written(crowded, "crowded")
+        finer, rest = _refined(contexts.join(crowded, "gram", "left_semi"))
+        spans = spans.union(_sorted(finer))
+        if rest is not None:
+            spans = spans.union(_counted_spans(rest))
+        contexts = contexts.join(crowded, "gram", "left_anti")
+    return spans.union(_sorted(contexts))
+
+
+def _sorted(contexts: DataFrame) -> DataFrame:
+    return contexts.select(*[c.split()[0] for c in CONTEXTS.split(", ")]).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, SPANS)
+
+
+def _refined(contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts of a crowded gram, in smaller groups: by the HALF bytes before the gram too, and by those after it.
+
+    A string that the anchor stands for reaches at least HALF bytes to one side of the gram, so the strings that are equal
+    have all of one side's bytes in common. Groups of one are dropped. Those that are still too large come second.
+    """
+    left = F.least("pos", F.lit(REACH))
+    before = F.when(left >= HALF, F.struct(F.lit(0).alias("side"), F.substring(F.col("context"), left - HALF + 1, F.lit(HALF + GRAM)).alias("part")))
+    after = F.when(F.octet_length("context") - left >= HALF + GRAM, F.struct(F.lit(1).alias("side"), F.substring(F.col("context"), left + 1, F.lit(HALF + GRAM)).alias("part")))
+    split = contexts.select("gram", "context", "id", "th", "pos", F.explode(F.array_compact(F.array(before, after))).alias("p"))
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
+    split = split.withColumn("gram", F.xxhash64("gram", "p.side", "p.part")).select(*names)
+    sizes = split.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    finer = split.join(sizes, "gram")
+    large = sizes.where(F.col("n") > MAX_CONTEXTS).isEmpty()
+    return finer.where(F.col("n") <= MAX_CONTEXTS).select(*names), None if large else finer.where(F.col("n") > MAX_CONTEXTS).select(*names)
 
 
 def _contexts(keyed: DataFrame, ones: DataFrame) -> DataFrame:
