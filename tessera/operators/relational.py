@@ -84,7 +84,7 @@ def equi_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its planned size is within the limit; else as it is, for a shuffled join."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
 
 

@@ -107,9 +107,10 @@ def phrase(df: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     asked = [w for w in re.split(r"[^\w]+|_", query.lower()) if w]
     if not asked:
         return df.sparkSession.createDataFrame([], f"id {df.schema[id_col].dataType.simpleString()}, score double, position int")
-    w = words(F.coalesce(F.col(text_col), F.lit("")))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - len(asked) + 1, F.lit(1))), lambda i: F.slice(F.col("w"), i, F.lit(len(asked))) == F.array(*map(F.lit, asked)))
-    found = df.select(F.col(id_col).alias("id"), w.alias("w")).where(F.arrays_overlap("w", F.array(F.lit(asked[0])))).select("id", (F.get(starts, F.lit(0)) - 1).alias("position")).where("position is not null")
+    own = df.select(F.col(id_col).alias("id"), F.posexplode(words(F.coalesce(F.col(text_col), F.lit("")))).alias("at", "word")).where(F.col("word").isin(asked))
+    place = F.explode(F.filter(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(a).alias("a")) for j, a in enumerate(asked)]), lambda x: x["a"] == F.col("word"))).alias("x")
+    starts = own.select("id", "at", place).groupBy("id", (F.col("at") - F.col("x.j")).alias("begin")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(asked))
+    found = starts.groupBy("id").agg(F.min("begin").alias("position"))
     scored = found.join(bm25(df, query, id_col, text_col, "and"), "id")
     return scored.select("id", (F.col("score") / (1 + 0.01 * F.col("position"))).alias("score"), "position")
 

@@ -6,34 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = """
-SELECT n_name, CAST(count(*) AS BIGINT) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'
-GROUP BY n_name HAVING count(*) > 1 ORDER BY revenue DESC, n_name LIMIT 20
-"""
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+from tessera.plans import graph_queries, relational_queries, search_queries, state_queries, time_queries
 
-
-def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query that runs `text` with every table of sf_dir that it names as a DataFrame argument."""
-    import re
-
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
-    template = text.replace("{", "{{").replace("}", "}}")
-    for t in used:
-        template = re.sub(rf"\b(FROM|JOIN|from|join)\s+{t}\b", rf"\1 {{{t}}} AS {t}", template)
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used if f"{{{t}}}" in template}
-        return spark.sql(template, **frames)
-
-    return run
+MODULES = (relational_queries, time_queries, search_queries, graph_queries, state_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship_revenue_per_nation": sql_query(FLAGSHIP)}
+    return {name: run for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship_revenue_per_nation": FLAGSHIP}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
