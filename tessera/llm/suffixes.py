@@ -38,7 +38,7 @@ LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM  # how far before an anchor a string that it stands for may start
 HALF = REACH // 2
 SHALLOW = 64
-MAX_CONTEXTS = 4096
+MAX_CONTEXTS = 1 << 15  # of a gram in one task: some 60 MB
 SLOTS = 1 << 20
 STRIDE = 1 << 17  # windows hashed at once
 _BASE = 0x9E3779B97F4A7C15 | 1
