@@ -32,8 +32,8 @@ from tessera.llm.tokenizing import BYTE, Cached, in_parts
 
 BASE = 50257  # ids of the vocabulary
 MOST_RULES = (1 << 16) - BASE
-LEAST_COUNT = 24  # of a pair that becomes a rule; a rule costs eight bytes
-A_ROUND = 2048  # rules of one round at most
+LEAST_COUNT = 16  # of a pair that becomes a rule; a rule costs eight bytes
+A_ROUND = 4096  # rules of one round at most
 PAYS = 0.01  # share of the symbols that a round must save for another to follow
 SHARD_BYTES = 8 << 20  # of text
 HEAD = struct.Struct("<4sIIIQ")
