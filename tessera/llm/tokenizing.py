@@ -124,7 +124,9 @@ class Cached:
         for w, parts in made:
             new[w] = b"".join([new[p] for p in parts])
         whole = iter(self._library([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        own = {w: new[w] if w in new else extra[w] for w in every}
+        if extra:
+            every -= extra.keys()
+        own = dict(zip(every, map(new.__getitem__, every), strict=True)) | extra
         return [next(whole) if p is None else b"".join(map(own.__getitem__, p)) for p in pieces]
 
 
