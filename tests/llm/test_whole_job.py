@@ -40,3 +40,56 @@ def test_near_groups_compare_all_of_a_large_bucket(spark, monkeypatch):
     assert {(i, i + 1) for i in range(29)} <= alike and (0, 29) not in alike
     got = dict(neargroups.near_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect())
     assert set(got.values()) == {0}
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms are permitted provided that:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+NAMES = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """This program is free software{}you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{}either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_wrapped_licences(spark):
+    texts = {MIT: "MIT", BSD: "BSD-2-Clause", BSD + NAMES: "BSD-3-Clause", APACHE: "Apache-2.0", GPL.format("; ", "; ", 2): "GPL-2.0-or-later", GPL.format(": ", ", ", 3): "GPL-3.0-or-later"}
+    commented = {"#!/bin/sh\n" + "\n".join(("# " + x).rstrip() for x in t.split("\n")) + "\nrun()": n for t, n in texts.items()}
+    windows = {"/*\r\n" + "\r\n".join((" * " + x).rstrip() for x in t.split("\n")) + "\r\n */": n for t, n in texts.items()}
+    lines = {"A title\nReleased under the MIT License\nand more words": "MIT", "permission\n\nis hereby granted": "", "released under\n\nthe MIT license": ""}
+    rows = list((texts | commented | windows | lines).items())
+    got = {r.doc_id: r.licenses for r in licenses.op6_license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
