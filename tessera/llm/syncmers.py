@@ -6,7 +6,8 @@ kept depends on nothing around it, so the kept ones are anchors that shared pass
 The fingerprint is the SKETCH least hashes of a text's syncmers; the likeness of two fingerprints is the share of the
 least hashes of both together that both have (an estimate of the Jaccard similarity of their syncmers).
 
-Fewer than K tokens are one string; no tokens give an empty fingerprint, which is like an empty one only. Nulls: a null
+A text of which no K tokens are kept (all of fewer, some of just K) is one string; no tokens give an empty fingerprint, which
+is like an empty one only. Nulls: a null
 text is empty; a null id sorts below all others. Documents with one id follow each other in the order of their texts'
 hashes. A lone document is its own next. Texts are read whole. Empty tables give no rows.
 """
@@ -57,7 +58,7 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(t, _token_hashes(F.col(text))).withColumn(s, _inner(F.col(t)))
     few = F.when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(F.transform(t, lambda x: x.cast("string")), " ")).bitwiseAND(F.lit(_LOW)))).otherwise(F.array().cast("array<long>"))
     own = F.slice(F.array_sort(F.array_distinct(_kept(F.col(s), lambda _, h: h))), 1, SKETCH)
-    return df.withColumn(out, F.when(F.size(t) < K, few).otherwise(own)).drop(t, s)
+    return df.withColumn(out, own).withColumn(out, F.when(F.size(out) == 0, few).otherwise(F.col(out))).drop(t, s)
 
 
 def as_text(sketch: Column) -> Column:

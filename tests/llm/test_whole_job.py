@@ -93,3 +93,10 @@ def test_wrapped_licences(spark):
     rows = list((texts | commented | windows | lines).items())
     got = {r.doc_id: r.licenses for r in licenses.op6_license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
+
+
+def test_short_texts_have_fingerprints(spark):
+    rows = [(i, f"tok{i} b{i} c{i} d{i}") for i in range(30)]
+    got = syncmers.op9_syncmers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.fingerprint for r in got) and len({r.fingerprint for r in got}) == 30
+    assert all(r.near_next == 0 for r in got)
