@@ -30,6 +30,7 @@ from tessera.llm.tokenizing import in_parts
 KNOWN_WORDS, KNOWN_GRAMS = 60_000, 30_000
 LONGEST = 4
 FLUSH = 150_000  # distinct tokens that a task holds before it emits their counts
+LONG, FLUSH_LONG = 60, 1 << 21  # tokens above LONG characters count by these, too: text without spaces
 CACHE = 200_000
 SMOOTH = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -41,13 +42,14 @@ def letters(token: str) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
-    marked = f"<{word[:60]}>" if n > 1 else word[:60]
+    marked = f"<{word}>" if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (size, gram, lang, n): size 0 is a word, others n-grams."""
     own: dict[str, Counter] = {}
+    held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, tokens in own.items():
@@ -68,9 +70,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1)
         for lang, text in zip(langs, texts, strict=True):
-            own.setdefault(lang, Counter()).update((text.as_py() or "").split())
-            if sum(map(len, own.values())) > FLUSH:
+            tokens = (text.as_py() or "").split()
+            own.setdefault(lang, Counter()).update(tokens)
+            held += sum(n for n in map(len, tokens) if n > LONG)
+            if sum(map(len, own.values())) > FLUSH or held > FLUSH_LONG:
                 yield from flush()
+                held = 0
     yield from flush()
 
 

@@ -100,3 +100,10 @@ def test_short_texts_have_fingerprints(spark):
     got = syncmers.op9_syncmers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.fingerprint for r in got) and len({r.fingerprint for r in got}) == 30
     assert all(r.near_next == 0 for r in got)
+
+
+def test_language_of_text_without_spaces(spark):
+    rng = random.Random(4)
+    rows = [(i, "a" * 60 + "".join(rng.choice("efg" if i % 2 else "bcd") for _ in range(100)), "y" if i % 2 else "x") for i in range(80)]
+    got = language.op4_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("y" if r.doc_id % 2 else "x") for r in got)
