@@ -2,7 +2,7 @@
 
 Each shard holds the documents of a range of ids. Rounds of Re-Pair replace pairs of neighbouring symbols: all pairs of
 the shard are counted, the frequent ones become nonterminals, and their occurrences are replaced from left to right;
-rounds go on while they pay. Pairs never cross documents, so that a document is a run of symbols: with the rules and
+rounds go on until no pair occurs LEAST_COUNT times or symbols run out (they have 16 bits). Pairs never cross documents, so that a document is a run of symbols: with the rules and
 their expansion lengths, any document or token is decoded without the rest.
 
 File layout, little-endian: magic `TRP1`, then documents, rules, symbols (uint32 each), tokens (uint64); ids int64[documents];
@@ -28,64 +28,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import NO_ID, partitions_for, range_bounds, range_bucket, shared_dir, ship, written
-from tessera.llm.tokenizing import BYTE, Cached, in_parts
+from tessera.llm.tokenizing import BYTE, Cached, in_ranges
 
 BASE = 50257  # ids of the vocabulary
 MOST_RULES = (1 << 16) - BASE
-LEAST_COUNT = 16  # of a pair that becomes a rule; a rule costs eight bytes
-A_ROUND = 4096  # rules of one round at most
-PAYS = 0.01  # share of the symbols that a round must save for another to follow
+LEAST_COUNT = 6  # of a pair that becomes a rule: a rule costs eight bytes and saves two for each occurrence
+A_ROUND = 4096  # rules of one round at most: the most frequent pairs
+_SLOTS = 16  # bits of a slot
 SHARD_BYTES = 8 << 20  # of text
 HEAD = struct.Struct("<4sIIIQ")
 
 
 def compress(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """uint16 symbols of documents that end at `ends` -> shorter symbols, their document ends, rules (n, 2)."""
+    """uint16 symbols of documents that end at `ends` -> shorter symbols, their document ends, rules (n, 2).
+
+    Ends when no pair is frequent or there is no symbol left for a rule. A round finds its pairs' places by a table of
+    hashes; of pairs that share a slot the most frequent goes first, the others are left to the next round.
+    """
     rules: list[np.ndarray] = []
     n_rules = 0
     while n_rules < MOST_RULES and len(symbols) > 1:
         codes = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
-        inside = np.ones(len(codes), bool)
-        inside[ends[(ends > 0) & (ends < len(symbols))] - 1] = False
-        ordered = np.sort(codes[inside])
+        last = ends[(ends > 0) & (ends < len(symbols))] - 1  # no pair begins there
+        ordered = np.sort(np.delete(codes, last))
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, int)
         times = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(times >= LEAST_COUNT)
         if not len(often):
             break
-        room = min(A_ROUND, MOST_RULES - n_rules)
-        if len(often) > room:
-            often = often[np.argsort(-times[often], kind="stable")[:room]]
-        pairs = np.sort(ordered[edge[often]])
-        first, second = np.unique(pairs >> np.uint32(16), return_inverse=True), np.unique(pairs & np.uint32(0xFFFF), return_inverse=True)
-        head, tail = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)  # places of symbols among the pairs' symbols, from 1
-        head[first[0]], tail[second[0]] = np.arange(len(first[0])) + 1, np.arange(len(second[0])) + 1
-        table = np.full((len(first[0]) + 1, len(second[0]) + 1), -1, np.int16)
-        table[first[1] + 1, second[1] + 1] = np.arange(len(pairs))
-        rule = np.where(inside, table.ravel()[head[symbols[:-1]] * table.shape[1] + tail[symbols[1:]]], -1)
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
+        often = often[np.argsort(-times[often], kind="stable")[: min(A_ROUND, MOST_RULES - n_rules)]]
+        pairs = ordered[edge[often]]
+        pairs = pairs[np.sort(np.unique(_slot(pairs), return_index=True)[1])]
+        table, number = np.zeros(1 << _SLOTS, np.uint32), np.full(1 << _SLOTS, -1, np.int16)
+        table[_slot(pairs)], number[_slot(pairs)] = pairs, np.arange(len(pairs))
+        slot = _slot(codes)
+        found = table[slot] == codes
+        found[last] = False
+        at = np.flatnonzero(found)
+        rule = number[slot[at]]
+        at, rule = at[rule >= 0], rule[rule >= 0]  # a free slot holds the code of the pair (0, 0)
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1]) if len(at) else np.zeros(0, bool)
         run = np.cumsum(fresh) - 1
         take = (at - at[fresh][run]) % 2 == 0  # of overlapping occurrences every other one, from the left
         at, rule = at[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)
+        used = np.flatnonzero(np.bincount(rule, minlength=len(pairs)))
         if not len(at):
             break
         rules.append(np.stack([pairs[used] >> np.uint32(16), pairs[used] & np.uint32(0xFFFF)], axis=1).astype(np.uint16))
-        before = len(symbols)
+        names = np.zeros(len(pairs), np.uint16)
+        names[used] = (BASE + n_rules + np.arange(len(used))).astype(np.uint16)
         symbols = symbols.copy()
-        symbols[at] = (BASE + n_rules + rule).astype(np.uint16)
-        stay = np.ones(before, bool)
-        stay[at + 1] = False
+        symbols[at] = names[rule]
         ends = ends - np.searchsorted(at + 1, ends)
-        symbols = symbols[stay]
+        symbols = np.delete(symbols, at + 1)
         n_rules += len(used)
-        if before - len(symbols) < PAYS * before:
-            break
     return symbols, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
 
 
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS)
+
+
 def expansions(rules: np.ndarray) -> list[np.ndarray]:
     """The token ids that each rule stands for."""
     out: list[np.ndarray] = []
@@ -104,14 +107,14 @@ def expand(symbols: np.ndarray, rules: list[np.ndarray]) -> np.ndarray:
     return flat[np.repeat(firsts[symbols] - begin, size) + np.arange(int(size.sum()))]
 
 
-def to_file(ids: list[int], tokens: list[np.ndarray]) -> bytes:
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    symbols, ends, rules = compress(np.concatenate(tokens).astype(np.uint16) if tokens else np.zeros(0, np.uint16), np.cumsum(sizes))
+def to_file(ids: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The file of documents `ids`: their tokens in a row, and how many each has."""
+    symbols, ends, rules = compress(tokens.astype(np.uint16), np.cumsum(sizes))
     lengths: list[int] = []
     for a, b in rules.tolist():
         lengths.append(sum(lengths[s - BASE] if s >= BASE else 1 for s in (a, b)))
     head = HEAD.pack(b"TRP1", len(ids), len(rules), len(symbols), int(sizes.sum()))
-    parts = [np.array(ids, "<i8"), sizes.astype("<u4"), np.diff(ends, prepend=0).astype("<u4"), rules.astype("<u2"), np.array(lengths, "<u4"), symbols.astype("<u2")]
+    parts = [ids.astype("<i8"), sizes.astype("<u4"), np.diff(ends, prepend=0).astype("<u4"), rules.astype("<u2"), np.array(lengths, "<u4"), symbols.astype("<u2")]
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -187,24 +190,27 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(size, shard_bytes)
     bounds = range_bounds(own, "id", parts)
-    tail = np.array([end], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Cached.of(tokenizer, BYTE)
-        ids: list[int] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
         shard = None
         for batch in batches:
             if batch.num_rows:
                 shard = batch.column(0)[0].as_py()
-            texts = batch.column(2).to_pylist()
-            ids += batch.column(1).to_pylist()
-            for lo, hi in in_parts(texts):
-                tokens += [np.concatenate([np.frombuffer(d, np.uint32), tail]).astype(np.uint16) for d in tool.encode(texts[lo:hi])]
+            ids.append(batch.column(1).to_numpy())
+            for lo, hi in in_ranges(batch.column(2)):
+                own, each = tool.encode(batch.column(2).slice(lo, hi - lo))
+                if len(own) and int(own.max()) >= BASE:
+                    raise ValueError(f"a token id of {int(own.max())}: files hold ids below {BASE}")
+                tokens.append(np.insert(own.astype(np.uint16), np.cumsum(each), end))
+                sizes.append(each + 1)
         if shard is not None:
-            data = to_file(ids, tokens)
+            data = to_file(np.concatenate(ids), np.concatenate(tokens), np.concatenate(sizes))
             _write(folder, shard, data)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(ids)], "n_tokens": [sum(map(len, tokens))], "n_bytes": [len(data)]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [sum(map(len, ids))], "n_tokens": [sum(map(len, tokens))], "n_bytes": [len(data)]})
 
     placed = own.withColumn("shard", range_bucket(F.col("id"), bounds).cast("int"))
     ordered = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("id", F.crc32(F.col("text").cast("binary")))

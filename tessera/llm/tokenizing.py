@@ -1,8 +1,11 @@
-"""Token ids of whole texts, exactly as the tokenizers library gives them, with a bounded cache of words.
+"""Token ids of whole texts, exactly as the tokenizers library gives them, with a bounded table of the pieces seen.
 
-A text is cut only where the tokenizer's own rules always cut, so ids of the pieces in a row are the ids of the text.
+A text is cut only where the tokenizer's own rules always cut, so the ids of its pieces in a row are the ids of the text.
 Texts with anything that such a cut could not be sure about (a special token's opening, control characters that
-libraries disagree about) go to the library as they are.
+libraries disagree about) go to the library as they are. Every id comes from the library; a piece is encoded once and then
+looked up, and texts are put together from the table by array operations.
+
+Nulls: a null text is empty and has no ids. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -10,45 +13,43 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD, BYTE = "word", "byte"  # word: white space is dropped; byte: it is part of the pieces
 _SPACE = "\t\n\r\x0b\x0c \x85\xa0  -     　"
 _PIECES = re.compile(f"[ \n]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+")
-_UNSURE = re.compile("[\x1c-\x1f᠎﻿]|<\\|")
-_TAILED = re.compile(r"(.*[^\W\d_])([!-/:-@\[-`{-~]+)", re.S)
-LONG = 200  # characters of a piece that is too long to keep
+_UNSURE = "[\x1c-\x1f᠎﻿]|<\\|"
+_RUN = f"[{_SPACE}]{{3}}"  # white space whose pieces aren't single characters
+_CUT = "\x1c"
+_LOWER = "a-z\xdf-\xf6\xf8-\xffа-џ"  # composed letters of which the upper case is one letter
+_UPPER = "A-Z\xc0-\xd6\xd8-\xdeЀ-Я"
+_MARKS = "[!-/:-@\\[-`{-~]"
+_SIMPLE = {WORD: re.compile(f"()([{_LOWER}{_UPPER}]+)({_MARKS}*)"), BYTE: re.compile(f"(\n?)( ?[{_LOWER}{_UPPER}]+)({_MARKS}*)")}
 _OWN: dict[tuple[str, str], "Cached"] = {}
 
-
 # the alphabet of byte-level vocabularies: printable bytes stand for themselves, others for characters from U+0100
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _runs(numbers: list[int], n: int) -> list[int]:
-    """How often each of 0 to n - 1 occurs."""
-    out = [0] * n
-    for x in numbers:
-        out[x] += 1
-    return out
-
-
 class Cached:
-    """A tokenizer with the ids of up to 2 * `most` pieces kept as bytes (little-endian, 32 bits an id)."""
+    """A tokenizer with a table of the ids of up to `most` pieces; a full table is emptied between calls."""
 
-    def __init__(self, path: str, kind: str, most: int = 500_000):
+    def __init__(self, path: str, kind: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-        # the same model behind a split at spaces: for single words, whose pieces need no other rule
-        from tokenizers import pre_tokenizers
+        self._clear()
 
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {"": 0}  # a piece's row
+        self.begin, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.rows, self.used = 1, 0
 
     @classmethod
     def of(cls, path: str, kind: str) -> "Cached":
@@ -57,77 +58,121 @@ class Cached:
             _OWN[path, kind] = cls(path, kind)
         return _OWN[path, kind]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of pieces that are one word each (letters only, for BYTE behind a space or not), in one call."""
-        from array import array
-
-        mapped = " ".join([w.encode("utf-8").decode("latin-1").translate(_BYTES) for w in words])
-        e = self.bare.encode_batch([mapped], add_special_tokens=False)[0]
-        data, at, out = array("I", e.ids).tobytes(), 0, []
-        for n in _runs(e.word_ids, len(words)):
-            out.append(data[at : at + 4 * n])
-            at += 4 * n
-        return out
-
-    def _parts(self, piece: str) -> tuple[str, ...] | None:
-        """Pieces whose ids in a row are the piece's: a word and the marks behind it; in lower case if case is dropped. None: it has no such parts."""
-        if len(piece) > LONG:
-            return None
-        m = _TAILED.fullmatch(piece)
-        word, tail = m.groups() if m and len(m[1][-1].lower()) == 1 else (piece, "")
-        if self.kind == WORD and word.isascii():
-            word = word.lower()
-        parts = (word, tail) if tail else (word,)
-        return None if parts == (piece,) else parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            if _UNSURE.search(t):
-                pieces.append(None)
-            else:
-                pieces.append(t.split() if self.kind == WORD else _PIECES.findall(t))
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        every = set().union(*[p for p in pieces if p])  # looked up once in the large cache, then in one of these only
-        missing = every.difference(new)
-        extra: dict[str, bytes] = {}
-        unseen, made = set(), []
-        for w in missing:
-            if w in old:
-                new[w] = old[w]
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New rows: the ids of all words in a row and how many each has."""
+        n, m = self.rows + len(words), self.used + len(ids)
+        if n > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.begin, self.size))
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(m, len(self.flat)), np.uint32)])
+        self.flat[self.used : m] = ids
+        self.size[self.rows : n] = sizes
+        self.begin[self.rows : n] = self.used + np.cumsum(sizes) - sizes
+        self.place.update(zip(words, range(self.rows, n), strict=True))
+        self.rows, self.used = n, m
+
+    def _gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows in a row, and how many each has."""
+        sizes = self.size[rows]
+        shift = self.begin[rows] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._flat([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that are one word each (for BYTE behind a space or not): these need the library's model only, no other rule."""
+        tokenize = self.tokenizer.model.tokenize
+        mapped = "\n".join(words).encode("utf-8").decode("latin-1").translate(_BYTES).split(_BYTES[10])
+        return self._flat([[x.id for x in tokenize(w)] for w in mapped])
+
+    @staticmethod
+    def _flat(own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), sizes
+
+    def _add(self, missing: list[str]) -> None:
+        """Encode pieces that the table lacks: words at once, others by the library, and a word with marks around it from its parts."""
+        simple, place, lower = _SIMPLE[self.kind].fullmatch, self.place, self.kind == WORD
+        made: list[str] = []
+        parts: list[tuple[str, str, str]] = []
+        words, others = set(), set()
+        for piece in missing:
+            m = simple(piece)
+            if m is None:
+                others.add(piece)
                 continue
-            parts = self._parts(w)
-            if parts is None:
-                unseen.add(w)
-            else:
-                made.append((w, parts))
-                for p in parts:
-                    if p not in new:
-                        if p in old:
-                            new[p] = old[p]
-                        else:
-                            unseen.add(p)
-        asked = [w for w in unseen if len(w) <= LONG and (w[1:] if w[:1] == " " and self.kind == BYTE else w).isalpha() and (self.kind == BYTE or (w.isascii() and w.islower()))]
-        if asked:
-            new.update(zip(asked, self._words(asked), strict=True))
-        asked = list(unseen.difference(new))
-        for w, ids in zip(asked, self._library(asked), strict=True):
-            (new if len(w) <= LONG else extra)[w] = ids
-        for w, parts in made:
-            new[w] = b"".join([new[p] for p in parts])
-        whole = iter(self._library([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        if extra:
-            every -= extra.keys()
-        own = dict(zip(every, map(new.__getitem__, every), strict=True)) | extra
-        return [next(whole) if p is None else b"".join(map(own.__getitem__, p)) for p in pieces]
+            before, word, after = m.groups()
+            if lower:
+                word = word.lower()
+            if word not in place:
+                words.add(word)
+            if len(word) != len(piece) or (lower and word != piece):
+                made.append(piece)
+                parts.append((before, word, after))
+                if after not in place:
+                    others.add(after)
+                if before not in place:
+                    others.add(before)
+        for own, encode in ((list(words), self._words), (list(others), self._library)):
+            if own:
+                self._append(own, *encode(own))
+        if made:
+            rows = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, 3 * len(parts))
+            ids, sizes = self._gathered(rows)
+            self._append(made, ids, sizes.reshape(-1, 3).sum(axis=1))
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in a row, and how many each has."""
+        if self.kind == WORD:
+            lists = pc.ascii_split_whitespace(texts)
+        else:
+            long = pc.match_substring_regex(texts, _RUN)
+            if pc.any(long).as_py():
+                own = [_PIECES.findall(t) for t in texts.to_pylist()]
+                return pa.array([p for o in own for p in o], pa.large_string()), np.fromiter(map(len, own), np.int64, len(own))
+            lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", _CUT + "\n"), _CUT)
+        return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (uint32), and how many each has."""
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        unsure = pc.match_substring_regex(texts, _UNSURE)
+        if not pc.any(unsure).as_py():
+            return self._sure(texts)
+        whole = unsure.to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(texts), np.int64)
+        ids, sizes[~whole] = self._sure(texts.filter(pc.invert(unsure)))
+        other, sizes[whole] = self._library(texts.filter(unsure).to_pylist())
+        out, of = np.empty(len(ids) + len(other), np.uint32), np.repeat(whole, sizes)
+        out[~of], out[of] = ids, other
+        return out, sizes
+
+    def _sure(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.place) > self.most or self.used > 8 * self.most:
+            self._clear()
+        pieces, each = self._pieces(texts)
+        found = pieces.dictionary_encode()
+        kinds = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        rows = np.fromiter(map(self.place.get, kinds, [-1] * len(kinds)), np.int64, len(kinds))
+        lacking = np.flatnonzero(rows < 0).tolist()
+        if lacking:
+            missing = [kinds[i] for i in lacking]
+            self._add(missing)
+            rows[lacking] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+        ids, sizes = self._gathered(rows[found.indices.to_numpy()]) if len(pieces) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(each)]
+        return ids, np.diff(ends, prepend=0)
+
+
+def in_ranges(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of a string array with about `most` bytes together; a longer text is a range of its own or ends one."""
+    if not len(texts):
+        return
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    yield from zip(cuts, [*cuts[1:], len(texts)], strict=True)
 
 
 def in_parts(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -101,39 +102,83 @@ def test_cached_ids_are_the_librarys(kind, name):
     marks = [" ", "  ", "\n", "\t", "a", "é", "É", "é", "Σ", "1", "!", "'s", "<|", "<|endoftext|>", "\x1c", "\x85", "\xa0", " ", "　", "🙂", "ﬁ", "İ", "한", "word", "The", "...", "²"]
     texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["", "x" * 3000, "The end. The END!! the end"]
     own = tokenizing.Cached(public_tokenizers.path(name), kind, most=300)
-    got = [x for lo, hi in tokenizing.in_parts(texts, 3000) for x in own.encode(texts[lo:hi])]
-    assert got == own._library(texts)
+    column = pa.array([*texts, None])
+    want = [e.ids for e in own.tokenizer.encode_batch([*texts, ""], add_special_tokens=False)]
+    for most in (3000, 1 << 22):
+        got = []
+        for lo, hi in tokenizing.in_ranges(column, most):
+            ids, sizes = own.encode(column.slice(lo, hi - lo))
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == want
+    assert list(tokenizing.in_ranges(pa.array([], pa.string()))) == [] and len(own.encode([])[0]) == 0
+
+
+def _fewest(items, capacity):
+    best = len(items)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + items[i] <= capacity and bins[j] not in bins[:j]:
+                put(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+        put(i + 1, [*bins, items[i]])
+
+    put(0, [])
+    return best
+
+
+def _checked(items, capacity):
+    p = packing.plan(dict(Counter(items)), capacity)
+    held = Counter()
+    for m, fill in p.kinds:
+        assert sum(x * k for x, k in fill) <= capacity
+        held.update({x: m * k for x, k in fill})
+    assert held == Counter(items) and p.bins == sum(m for m, _ in p.kinds) >= p.bound
+    return p
+
+
+def test_plan_is_optimal_on_small_sets():
+    rng = random.Random(1)
+    for _ in range(150):
+        capacity = rng.choice([10, 30, 100])
+        items = sorted((rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(max(1, capacity // 6), capacity // 2) for _ in range(rng.randint(1, 12))), reverse=True)
+        p = _checked(items, capacity)
+        assert p.bound <= p.bins == _fewest(items, capacity)
+    assert _checked([44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 10, 10], 100).bins == 2
 
 
-def test_plan_packs_every_item_and_meets_the_bound():
+def test_plan_packs_every_item_and_is_near_the_bound():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 5, 40, 2000):
-        sizes, times = np.unique(np.clip(rng.lognormal(5.5, 1.1, n).astype(int), 1, 4096), return_counts=True)
-        kinds = packing.plan(dict(zip(sizes.tolist(), times.tolist(), strict=True)))
-        held = {}
-        for m, fill in kinds:
-            assert sum(x * k for x, k in fill) <= 4096
-            for x, k in fill:
-                held[x] = held.get(x, 0) + m * k
-        assert held == dict(zip(sizes.tolist(), times.tolist(), strict=True))
-        assert sum(m for m, _ in kinds) <= -(-int((sizes * times).sum()) // 4096) + 1
+    for n in (0, 1, 5, 40, 2000, 30000):
+        p = _checked(np.clip(rng.lognormal(5.5, 1.1, n).astype(int), 1, 4096).tolist(), 4096)
+        assert p.bins <= p.bound + 1
+    assert _checked([4096] * 10**4 + [1] * 10**5, 4096).bins == 10025
 
 
-def test_tail_search_beats_best_fit_decreasing():
-    assert len(packing.pack_tail([6, 5, 5, 4, 4, 3, 3], 10)) == 3
-    assert len(packing.pack_tail([44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 10, 10], 100)) == 2
+def test_fillings_are_undominated():
+    left = lambda items: np.bincount(items, minlength=11)
+    assert packing.fillings(left([5, 3, 2]), 5) == [[5]]
+    assert packing.fillings(left([5, 3, 2, 2, 1]), 9) == [[5, 3, 1], [5, 2, 2]]
+    assert packing.fillings(left([7, 7]), 6) == [[]]
+    assert packing.dominated([3, 2], 0, 1 << 5) and not packing.dominated([5], 0, 1 << 3 | 1 << 2) and packing.dominated([4], 1, 1 << 5)
 
 
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     tokens = [rng.zipf(1.3, int(rng.integers(1, 2000))).clip(0, 50256).astype(np.uint16) for _ in range(30)] + [np.zeros(1, np.uint16)]
-    shard = repair.Shard(repair.to_file(list(range(31)), tokens))
+    sizes = np.array([len(t) for t in tokens])
+    shard = repair.Shard(repair.to_file(np.arange(31), np.concatenate(tokens), sizes))
     assert len(shard.rules) and (shard.all() == np.concatenate(tokens)).all()
     for i, t in enumerate(tokens):
         a = int(rng.integers(0, len(t)))
         b = int(rng.integers(a, len(t) + 1))
         assert (shard.document(i) == t).all() and (shard.document(i, a, b) == t[a:b]).all()
-    assert len(repair.Shard(repair.to_file([], [])).all()) == 0
+    assert len(repair.Shard(repair.to_file(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))).all()) == 0
 
 
 def test_phrase_and_proximity_places():

@@ -135,9 +135,17 @@ def test_contamination(spark, docs, none, texts):
     assert near.where("size(items) > 0").count() == 0
 
 
-def test_packing(docs, none):
+def test_packing(spark, none, texts):
+    from tokenizers import Tokenizer
+
     path = public_tokenizers.path("word_bpe_49k.json")
-    got = packing.op3_packing(docs, path).collect()
+    rows = [*texts, (70, "w1 " * 9000), (70, "w1 " * 9000), (71, "a " * 4095), (72, "a " * 4096)]
+    got = packing.op3_packing(spark.createDataFrame(_rows(rows), SCHEMA), path).collect()
+    tool, want = Tokenizer.from_file(path), []
+    for i, t in rows:
+        ids = np.array([*tool.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -147,7 +155,7 @@ def test_packing(docs, none):
             assert o == at
             at += n
         assert at <= 4096
-    assert len(bins) <= -(-sum(r.length for r in got) // 4096) + 1
+    assert {(r.n_sequences, r.least_sequences) for r in got} == {(len(bins), -(-sum(r.length for r in got) // 4096))}
     assert packing.op3_packing(none, path).count() == 0
 
 
