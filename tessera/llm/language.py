@@ -1,16 +1,14 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
-All labelled documents are counted: words, and the character n-grams (four letters down to one) of their words, by
-language. A known word scores its log frequency in each language. An unseen word is looked at as n-grams: the
-longest length of which any n-gram is known decides, by the mean of their log frequencies. A document's score in a
-language is the sum over its words, repeats included.
-
-The counts cover every labelled document. Of the counted words the model keeps the KNOWN_WORDS most frequent, and of
-each length of n-grams the KNOWN_GRAMS most frequent (that is the model's size, which is broadcast); rarer words go the way
-of unseen ones.
+The model is learned from at most SAMPLE different labelled texts of each language, those of the least hashes (a documented bound; copies
+of a text count once). Of these, words and the character n-grams (four letters down to one) of their words are counted by
+language, and all of them are kept: there is no cap on words or n-grams. A known word scores its log frequency in each
+language. An unseen word is looked at as n-grams: the longest length of which any n-gram is known decides, by the mean of
+their log frequencies. A document's score in a language is the sum over its words, repeats included.
 
 Nulls: rows with a null language aren't learned from; a null text, or one without a letter, is `und` with score 0. So is
-every text if nothing was learned. Ties go to the language that sorts first. Repeated rows count each time.
+every text if nothing was learned. Ties go to the language that sorts first. A text with several languages is learned in each.
+Rows are predicted one by one, repeated ones too; texts are read whole, in learning and in prediction. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import forget, ship, written
 from tessera.llm.tokenizing import in_parts
 
-KNOWN_WORDS, KNOWN_GRAMS = 60_000, 30_000
+SAMPLE = 4_000  # texts of each language that are learned from at most
 LONGEST = 4
 FLUSH = 150_000  # distinct tokens that a task holds before it emits their counts
 LONG, FLUSH_LONG = 60, 1 << 21  # tokens above LONG characters count by these, too: text without spaces
@@ -79,28 +78,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
+def sample(docs: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
+    """(lang, text): of each language the `most` different texts of the least hashes, or all.
+
+    A first look at hashes tells about which share of a language's texts that is, so that only few texts are moved.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
+    kinds = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).where(F.col("n") > most)
+    shares = {r.lang: 1.3 * most / r.n for r in kinds.collect()}  # one row for each language
+    keep = F.lit(True)
+    for lang, share in shares.items():
+        keep = F.when(F.col("lang") == lang, F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).otherwise(keep)
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h", "text")
+    few = hashed.where(keep).dropDuplicates(["lang", "text"])
+    return few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("lang", "text")
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> dict:
     """The model: languages, log frequencies of known words and n-grams, and those of unseen ones."""
     ship(docs.sparkSession)
-    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    part = written(labelled.mapInArrow(_count, "size int, gram string, lang string, n long"), "counts")
-    each = part.repartition("size", "gram").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
-    kinds = written(each.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")), "kinds")
-    totals = {(r[0], r[1]): (r[2], r[3]) for r in kinds.select("size", F.explode("by").alias("b")).groupBy("size", "b.lang").agg(F.sum("b.n"), F.count(F.lit(1))).collect()}
-    langs = sorted({lang for _, lang in totals})
-    place = {lang: i for i, lang in enumerate(langs)}
+    chosen = written(sample(docs, text_col, lang_col, most), "sample")
+    part = written(chosen.mapInArrow(_count, "size int, gram string, lang string, n long"), "counts")
+    counted = part.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).toArrow()  # the words of `most` texts a language
+    forget(chosen, part)
+    sizes, n = counted["size"].to_numpy(), counted["n"].to_numpy()
+    names = counted["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if len(n) else np.zeros(0, np.int64)
     model: dict = {"langs": langs, "known": [], "logs": []}
     for size in range(LONGEST + 1):
-        top = kinds.where(F.col("size") == size).orderBy(F.desc("total"), "gram").limit(KNOWN_WORDS if size == 0 else KNOWN_GRAMS).collect() if langs else []
-        counts = np.zeros((len(top), len(langs)))
-        for i, row in enumerate(top):
-            for b in row.by:
-                counts[i, place[b.lang]] = b.n
-        tokens = np.array([totals.get((size, x), (0, 0))[0] for x in langs], float)
-        types = max([totals.get((size, x), (0, 0))[1] for x in langs], default=1)
-        model["known"].append({row.gram: i for i, row in enumerate(top)})
-        model["logs"].append(np.log((counts + SMOOTH) / (tokens + SMOOTH * (types + 1))).astype(np.float32))
-    forget(part, kinds)
+        own = np.flatnonzero(sizes == size)
+        grams_ = counted["gram"].combine_chunks().take(pa.array(own)).dictionary_encode()
+        counts = np.zeros((len(grams_.dictionary), len(langs)))
+        counts[grams_.indices.to_numpy(), place[own]] = n[own]
+        types = int(max((counts > 0).sum(axis=0), default=1)) if len(counts) else 1
+        model["known"].append({g: i for i, g in enumerate(grams_.dictionary.to_pylist())})
+        model["logs"].append(np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (types + 1))).astype(np.float32))
     return model
 
 
@@ -165,7 +179,7 @@ class Scorer:
 def identified(text: Column, model: dict, spark) -> Column:
     """struct<lang, score> of whole texts."""
     ship(spark)
-    held = spark.sparkContext.broadcast(model)  # at most KNOWN_WORDS + LONGEST * KNOWN_GRAMS rows
+    held = spark.sparkContext.broadcast(model)  # the words and n-grams of at most SAMPLE texts a language
     own: dict[str, Scorer] = {}
 
     @F.arrow_udf("struct<lang: string, score: double>")
