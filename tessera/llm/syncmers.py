@@ -1,80 +1,133 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text's tokens are its stretches of non-space characters, cut after TOKEN characters. K tokens in a row are kept (they
-are a closed syncmer) if the least hash of the inner strings of S tokens is the first or the last. Whether a k-mer is
-kept depends on nothing around it, so the kept ones are anchors that shared passages have in common, wherever they stand.
-The fingerprint is the SKETCH least hashes of a text's syncmers; the likeness of two fingerprints is the share of the
-least hashes of both together that both have (an estimate of the Jaccard similarity of their syncmers).
+K characters in a row are kept (they are a closed syncmer) if the least hash of their inner strings of S characters is the
+first or the last. Whether a k-mer is kept depends on nothing around it, so the kept ones are anchors that shared passages
+have in common, wherever they stand. The fingerprint is the SKETCH anchors of the least hashes, each with its
+place (the first of equal ones). Two fingerprints are matched by place: of the least hashes of both together, those count that
+both have and that stand in the same order in both, as many as a longest such chain has. The likeness is their share: an
+estimate of the Jaccard similarity of the anchors of passages that the texts share in order.
 
-A text of which no K tokens are kept (all of fewer, some of just K) is one string; no tokens give an empty fingerprint, which
+Texts are cut into chunks of CHUNK characters, each with the K - 1 after it, so that memory doesn't grow with a text. As anchors
+are context-free, a text's fingerprint is put together from those of its parts; so of an edited text only the new end is looked at.
+
+A text without anchors (short ones) has one: itself, at place 0; only an empty text has an empty fingerprint, which
 is like an empty one only. Nulls: a null
 text is empty; a null id sorts below all others. Documents with one id follow each other in the order of their texts'
-hashes. A lone document is its own next. Texts are read whole. Empty tables give no rows.
+hashes and are sorted in one task. A lone document is its own next. Texts are read whole. Repeated rows are rows. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import NO_ID, partitions_for, range_bounds, range_bucket
 
-TOKEN, K, S = 8, 4, 2
+K, S = 14, 7  # K = 2 S, so that a k-mer is its first and its last inner string; 8 inner strings in a row
+CHUNK = 2048
 SKETCH = 64
 BUCKET_BYTES = 8 << 20
-_LOW = (1 << 32) - 1
+_PLACE, _HASH = 24, 39  # bits of an anchor's place (places beyond are the last of these), below those of its hash
+_LAST = (1 << _PLACE) - 1
 
 
-def anchors(text: Column) -> Column:
-    """array<struct<place int, hash long>> of the closed syncmers of a text, in order; place counts tokens from 0."""
-    return _kept(_inner(_token_hashes(text)), lambda i, h: F.struct(i.alias("place"), h.alias("hash")))
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def _token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)), lambda t: F.xxhash64(t))
+def _hashes(chunk: Column) -> Column:
+    """Hashes of every S characters in a row."""
+    return F.transform(F.regexp_extract_all(chunk, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{S}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
 
 
-def _inner(tokens: Column) -> Column:
-    """Hashes of every S = 2 tokens in a row."""
-    n = F.size(tokens)
-    return F.zip_with(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+def _above(hash_: Column) -> Column:
+    """The upper bits of a hash, above an empty place."""
+    return F.shiftleft(F.shiftrightunsigned(hash_, 64 - _HASH), _PLACE)
 
 
-def _kept(inner: Column, make) -> Column:
-    """Of K - S + 1 = 3 inner strings in a row: kept if the middle one isn't less than both others."""
-    n = F.size(inner)
-    return F.array_compact(
-        F.transform(
-            F.slice(inner, F.lit(1), F.greatest(n - 2, F.lit(0))),
-            lambda a, i: F.when(F.least(a, F.get(inner, i + 2)) <= F.get(inner, i + 1), make(i, F.xxhash64(a, F.get(inner, i + 2)).bitwiseAND(F.lit(_LOW)))),
-        )
-    )
+def _least(inner: Column, step: int) -> Column:
+    """The lesser of every element and the one `step` after it."""
+    n = F.greatest(F.size(inner) - step, F.lit(0))
+    return F.zip_with(F.slice(inner, F.lit(1), n), F.slice(inner, F.lit(1 + step), n), lambda a, b: F.when(a <= b, a).otherwise(b))
+
+
+def _anchors(inner: Column, place: Column) -> Column:
+    """The anchors among the k-mers that begin with the hashes `inner`, the first at `place`: hash above place."""
+    least = _least(_least(_least(inner, 1), 2), 4)  # of 8 in a row
+
+    def kept(low: Column, i: Column) -> Column:
+        a, b = F.get(inner, i), F.get(inner, i + S)
+        return F.when((a == low) | (b == low), _above(F.xxhash64(a, b)).bitwiseOR(F.least(place + i, F.lit(_LAST)).cast("long")))
+
+    return F.array_compact(F.transform(least, kept))
+
+
+def bottom(anchors: Column) -> Column:
+    """The SKETCH anchors of the least hashes, ascending; of those of one hash the first in the text."""
+    hash_ = lambda x: F.shiftright(x, _PLACE)
+    ordered = lambda s: F.filter(s, lambda x, i: (i == 0) | (hash_(x) != hash_(F.get(s, i - 1))))
+    return F.slice(_let(F.array_sort(anchors), ordered), 1, SKETCH)
+
+
+def part(text: Column, place: Column) -> Column:
+    """array<long>: the fingerprint of a stretch of text that begins at `place`; of less than K characters none."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def own(all_: Column) -> Column:
+        whole = lambda c, i: F.concat(c, F.coalesce(F.substring(F.get(all_, i + 1), 1, K - 1), F.lit("")))
+        return F.flatten(F.transform(all_, lambda c, i: bottom(_let(_hashes(whole(c, i)), lambda h: _anchors(h, place + i * CHUNK)))))
+
+    return bottom(_let(chunks, own))
+
+
+def fingerprint(parts: Column, text: Column) -> Column:
+    """The fingerprint of a text from the anchors of its parts."""
+    alone = F.when(text == "", F.array().cast("array<long>")).otherwise(F.array(_above(F.xxhash64(text))))
+    return _let(parts, lambda p: F.when(F.size(p) == 0, alone).otherwise(bottom(p)))
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: array<long>, the least hashes of the syncmers of column `text` (not null)."""
-    t, s = f"_t_{out}", f"_s_{out}"
-    df = df.withColumn(t, _token_hashes(F.col(text))).withColumn(s, _inner(F.col(t)))
-    few = F.when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(F.transform(t, lambda x: x.cast("string")), " ")).bitwiseAND(F.lit(_LOW)))).otherwise(F.array().cast("array<long>"))
-    own = F.slice(F.array_sort(F.array_distinct(_kept(F.col(s), lambda _, h: h))), 1, SKETCH)
-    return df.withColumn(out, own).withColumn(out, F.when(F.size(out) == 0, few).otherwise(F.col(out))).drop(t, s)
+    """df with `out`: array<long>, the fingerprint of column `text` (not null)."""
+    return df.withColumn(out, fingerprint(part(F.col(text), F.lit(0)), F.col(text)))
 
 
 def as_text(sketch: Column) -> Column:
-    """A fingerprint as eight hex digits a hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    """A fingerprint as sixteen hex digits an anchor: hash, then place."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+
+
+def _chain(places: Column) -> Column:
+    """How many of a list of places can be taken, in a row, so that they ascend (the longest such)."""
+
+    def longer(ends: Column, x: Column) -> Column:  # ends[i]: the least place that a chain of i + 1 ends at
+        return _let(F.size(F.filter(ends, lambda e: e < x)), lambda k: F.concat(F.slice(ends, F.lit(1), k), F.array(x), F.slice(ends, k + 2, F.lit(SKETCH))))
+
+    return F.size(F.aggregate(places, F.array().cast("array<long>"), longer))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of the SKETCH least hashes of both that both have; two empty fingerprints are alike."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), least))
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(shared / F.size(least))
+    """0 to 1: of the SKETCH least hashes of both, the share that both have in the same order; two empty fingerprints are alike."""
+    hashes = lambda s: F.transform(s, lambda x: F.shiftright(x, _PLACE))
+    place = lambda x: x.bitwiseAND(F.lit(_LAST))
+
+    def share(least: Column) -> Column:
+        both = F.array_intersect(F.array_intersect(hashes(a), hashes(b)), least)
+        of = lambda s, shared: F.filter(s, lambda x: F.array_contains(shared, F.shiftright(x, _PLACE)))
+        pairs = lambda shared: F.zip_with(of(a, shared), of(b, shared), lambda x, y: F.shiftleft(place(x), _PLACE).bitwiseOR(place(y)))
+        chain = _let(both, lambda shared: F.when(F.size(shared) < 2, F.size(shared)).otherwise(_chain(F.transform(F.array_sort(pairs(shared)), place))))
+        return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(chain / F.size(least))
+
+    return _let(F.slice(F.array_sort(F.array_union(hashes(a), hashes(b))), 1, SKETCH), share)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, sketch, next_text, next_sketch): every document with the one after it in descending order of ids.
+    """(id, text, n_chars, before, sketch, next_text, next_sketch): every document with the one after it in descending order of ids.
+
+    `before` is the fingerprint of the text without its last third.
 
     One shuffle of the texts: documents go to buckets of ids; the greatest of a bucket goes to the one above it, too,
     and the greatest of all to the lowest, where they only serve as the next of others.
@@ -84,7 +137,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounds = range_bounds(own, "id", partitions_for(size or 0, BUCKET_BYTES))
     place = range_bucket(F.col("id"), bounds)
     top = NO_ID if top is None else top
-    sketched = with_sketch(own, "text", "sketch").withColumn("bucket", place.cast("int"))
+    n = F.char_length("text")
+    stays = n - F.floor(n / 3).cast("int")
+    halves = own.withColumn("n_chars", n.cast("long")).withColumn("before", part(F.substring("text", F.lit(1), stays), F.lit(0)))
+    sketched = halves.withColumn("sketch", fingerprint(F.concat("before", end_of("text", stays)), F.col("text"))).withColumn("bucket", place.cast("int"))
     above = _is_bound(F.col("id"), F.col("bucket"), bounds)
     homes = F.array_compact(
         F.array(
@@ -93,10 +149,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.when(F.col("id") == top, F.struct(F.lit(0).alias("at"), F.lit(2).alias("role"))),
         )
     )
-    sent = sketched.select("id", "text", "sketch", F.explode(homes).alias("home")).select("id", "text", "sketch", "home.at", "home.role")
+    held = ["id", "text", "n_chars", "before", "sketch"]
+    sent = sketched.select(*held, F.explode(homes).alias("home")).select(*held, "home.at", "home.role").repartition(2 * len(bounds) + 1, "at")  # a width that grows with the texts
     order = Window.partitionBy("at").orderBy((F.col("role") == 2).asc(), F.col("id").desc(), F.xxhash64("text"))
     after = sent.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where("role = 0")
-    return after.select("id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
+    return after.select(*held, F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
 
 
 def _is_bound(key: Column, bucket: Column, bounds: list[int]) -> Column:
@@ -106,11 +163,18 @@ def _is_bound(key: Column, bucket: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), bucket) == key, F.lit(False))
 
 
+def end_of(text: str, stays: Column) -> Column:
+    """The anchors of column `text` that reach beyond its first `stays` characters."""
+    first = F.greatest(stays - (K - 1), F.lit(0))
+    return part(F.substring(text, first + 1, F.char_length(text)), first)
+
+
 def op9_syncmers(docs: DataFrame) -> DataFrame:
-    pairs = with_next(docs, "doc_id", "text").withColumn("n_chars", F.char_length("text").cast("long"))
+    pairs = with_next(docs, "doc_id", "text")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut))).drop("text", "next_text")
-    both = with_sketch(edited, "edited", "edited_sketch")
+    stays = F.col("n_chars").cast("int") - cut
+    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), stays), F.substring("next_text", F.lit(1), cut))).withColumn("stays", stays).drop("text", "next_text")
+    both = edited.withColumn("edited_sketch", fingerprint(F.concat("before", end_of("edited", F.col("stays"))), F.col("edited")))
     return both.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),

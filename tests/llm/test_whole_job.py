@@ -1,6 +1,11 @@
 """Corpus operators do their whole job: near-duplicates at the threshold, wrapped licence texts, short and unspaced texts."""
 
+import bisect
+import hashlib
 import random
+import struct
+
+import xxhash
 
 from tessera.llm import language, licenses, neargroups, syncmers
 
@@ -95,11 +100,111 @@ def test_wrapped_licences(spark):
     assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+KERNEL = """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License version 2 as published by
+the Free Software Foundation."""
+
+
+def test_more_licences_and_spdx_lines(spark):
+    texts = {
+        LGPL: "LGPL-2.1-or-later", AGPL: "AGPL-3.0-or-later", MPL: "MPL-2.0", ISC: "ISC", KERNEL: "GPL-2.0-only", "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "# SPDX-License-Identifier: MIT OR Apache-2.0\ncode()": "MIT OR Apache-2.0",
+        "This project is licensed under the Mozilla Public License 2.0.": "MPL-2.0", "Distributed under the GPLv3.": "GPL-3.0-only", "licensed under the licence of nobody": "", None: "", "": "", "x. " * 20000 + "\nReleased under the ISC License\n" + "y " * 20000: "ISC",
+        "Released under the MIT License. Released under the MIT License. Released under the ISC License.": "MIT,ISC",
+    }
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, LGPL, "clash"), (None, LGPL, "clash")]
+    got = licenses.op6_license_scan(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()
+    assert sorted(((r.doc_id, r.licenses) for r in got), key=str) == sorted([(i, n) for i, n in enumerate(texts.values())] + [(None, "LGPL-2.1-or-later")] * 2, key=str)
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _fingerprint(t):
+    """Closed syncmers of characters by brute force: hash -> first place, the least 64."""
+    inner = [_signed(xxhash.xxh64_intdigest(t[i : i + 7].encode(), 42)) for i in range(len(t) - 6)]
+    own = {}
+    for i in range(len(t) - 13):
+        w = inner[i : i + 8]
+        if min(w) in (w[0], w[7]):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", w[7]), xxhash.xxh64_intdigest(struct.pack("<q", w[0]), 42)) >> 25
+            own.setdefault(h, i)
+    if not own and t:
+        own = {xxhash.xxh64_intdigest(t.encode(), 42) >> 25: 0}
+    return dict(sorted(own.items())[:64])
+
+
+def _likeness(a, b):
+    least = sorted(a.keys() | b.keys())[:64]
+    places = [q for _, q in sorted((a[h], b[h]) for h in least if h in a and h in b)]
+    ends = []
+    for q in places:
+        at = bisect.bisect_left(ends, q)
+        ends[at : at + 1] = [q]
+    return len(ends) / len(least) if least else 1.0
+
+
+def _hex(f):
+    return "".join(f"{h << 24 | i:016x}" for h, i in f.items())
+
+
+def test_syncmers_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(syncmers, "CHUNK", 50)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeé😀") for _ in range(rng.randint(1, 8))) for _ in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += ["", "", "a", "one two", "z" * 400, "漢字" * 300, texts[0], "ab" * 7, texts[1] + texts[2], texts[2] + texts[1], "tok a b c", "x" * 13, "x" * 14, "😀" * 20]
+    rows = [(i * 3, t, i) for i, t in enumerate(texts)] + [(None, None, 0), (None, "text of no id and of some length", 0), (9, texts[5], 0), (9, texts[5], 0)]
+    order = sorted(((i if i is not None else -(1 << 63), _signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t or "") for i, t, _ in rows), key=lambda r: (-r[0], r[1]))
+    want = []
+    for k, (i, _, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        own, other = _fingerprint(t), _fingerprint(edited)
+        want.append((i if i >= 0 else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), _hex(own), _hex(other), _likeness(own, other), _likeness(own, _fingerprint(after))))
+    got = syncmers.op9_syncmers(spark.createDataFrame(rows, "doc_id long, text string, sketch long")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_syncmers_tell_edited_texts_from_others(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(150, 400)))) for i in range(40)]
+    got = syncmers.op9_syncmers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(0.25 < r.near_edited < 0.75 and r.near_next < 0.05 for r in got)
+    moved = spark.createDataFrame([(1, rows[0][1]), (0, "a new beginning " * 3 + rows[0][1])], "doc_id long, text string")
+    assert min(r.near_next for r in syncmers.op9_syncmers(moved).collect()) > 0.7
+
+
 def test_short_texts_have_fingerprints(spark):
     rows = [(i, f"tok{i} b{i} c{i} d{i}") for i in range(30)]
     got = syncmers.op9_syncmers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.fingerprint for r in got) and len({r.fingerprint for r in got}) == 30
-    assert all(r.near_next == 0 for r in got)
+    assert all(r.near_next < 1 for r in got)
 
 
 def test_language_of_text_without_spaces(spark):
