@@ -1,16 +1,13 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-K characters in a row are kept (they are a closed syncmer) if the least hash of their inner strings of S characters is the
-first or the last. Whether a k-mer is kept depends on nothing around it, so the kept ones are anchors that shared passages
-have in common, wherever they stand. The fingerprint is the SKETCH anchors of the least hashes, each with its
-place (the first of equal ones). Two fingerprints are matched by place: of the least hashes of both together, those count that
-both have and that stand in the same order in both, as many as a longest such chain has. The likeness is their share: an
-estimate of the Jaccard similarity of the anchors of passages that the texts share in order.
-
-Texts are cut into chunks of CHUNK characters, each with the K - 1 after it, so that memory doesn't grow with a text. As anchors
-are context-free, a text's fingerprint is put together from those of its parts; so of an edited text only the new end is looked at.
-
-A text without anchors (short ones) has one: itself, at place 0; only an empty text has an empty fingerprint, which
+A text's tokens are its stretches of non-space characters, cut after TOKEN characters. K tokens in a row are kept (they are a
+closed syncmer) if the least hash of their inner strings of S tokens is the first or the last. Whether a k-mer is kept depends on nothing
+around it, so the kept ones are anchors that shared passages have in common, wherever they stand. The fingerprint is the SKETCH
+anchors of the least hashes, each with its place (the first of equal ones). Two fingerprints are matched by place: of the least hashes
+of both together, those count that both have and that stand in the same order in both, as many as a longest such chain has. The
+likeness is their share: an estimate of the Jaccard similarity of the anchors of passages that the texts share in order.
+
+A text without anchors (short ones) has one: its words, at place 0; only a text without tokens has an empty fingerprint, which
 is like an empty one only. Nulls: a null
 text is empty; a null id sorts below all others. Documents with one id follow each other in the order of their texts'
 hashes and are sorted in one task. A lone document is its own next. Texts are read whole. Repeated rows are rows. Empty tables give no rows.
@@ -26,8 +23,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import NO_ID, partitions_for, range_bounds, range_bucket
 
-K, S = 14, 7  # K = 2 S, so that a k-mer is its first and its last inner string; 8 inner strings in a row
-CHUNK = 2048
+TOKEN, K, S = 8, 4, 2
 SKETCH = 64
 BUCKET_BYTES = 8 << 20
 _PLACE, _HASH = 24, 39  # bits of an anchor's place (places beyond are the last of these), below those of its hash
@@ -39,31 +35,31 @@ def _let(value: Column, of: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def _hashes(chunk: Column) -> Column:
-    """Hashes of every S characters in a row."""
-    return F.transform(F.regexp_extract_all(chunk, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{S}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-
-
 def _above(hash_: Column) -> Column:
     """The upper bits of a hash, above an empty place."""
     return F.shiftleft(F.shiftrightunsigned(hash_, 64 - _HASH), _PLACE)
 
 
-def _least(inner: Column, step: int) -> Column:
-    """The lesser of every element and the one `step` after it."""
-    n = F.greatest(F.size(inner) - step, F.lit(0))
-    return F.zip_with(F.slice(inner, F.lit(1), n), F.slice(inner, F.lit(1 + step), n), lambda a, b: F.when(a <= b, a).otherwise(b))
+def _tokens(text: Column) -> Column:
+    """Hashes of the tokens of a text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)), lambda t: F.xxhash64(t))
 
 
-def _anchors(inner: Column, place: Column) -> Column:
-    """The anchors among the k-mers that begin with the hashes `inner`, the first at `place`: hash above place."""
-    least = _least(_least(_least(inner, 1), 2), 4)  # of 8 in a row
+def _inner(tokens: Column) -> Column:
+    """Hashes of every S = 2 tokens in a row."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
-    def kept(low: Column, i: Column) -> Column:
-        a, b = F.get(inner, i), F.get(inner, i + S)
-        return F.when((a == low) | (b == low), _above(F.xxhash64(a, b)).bitwiseOR(F.least(place + i, F.lit(_LAST)).cast("long")))
 
-    return F.array_compact(F.transform(least, kept))
+def anchors(text: Column) -> Column:
+    """array<long>: the closed syncmers of a text in order, hash above place. Places count tokens from 0."""
+
+    def kept(inner: Column) -> Column:  # of K - S + 1 = 3 inner strings in a row the middle one isn't less than both others
+        last = lambda i: F.get(inner, i + 2)
+        own = lambda a, i: _above(F.xxhash64(a, last(i))).bitwiseOR(F.least(i, F.lit(_LAST)).cast("long"))
+        return F.array_compact(F.transform(inner, lambda a, i: F.when(F.least(a, last(i)) <= F.get(inner, i + 1), F.when(last(i).isNotNull(), own(a, i)))))
+
+    return _let(_let(_tokens(text), _inner), kept)
 
 
 def bottom(anchors: Column) -> Column:
@@ -73,26 +69,15 @@ def bottom(anchors: Column) -> Column:
     return F.slice(_let(F.array_sort(anchors), ordered), 1, SKETCH)
 
 
-def part(text: Column, place: Column) -> Column:
-    """array<long>: the fingerprint of a stretch of text that begins at `place`; of less than K characters none."""
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-
-    def own(all_: Column) -> Column:
-        whole = lambda c, i: F.concat(c, F.coalesce(F.substring(F.get(all_, i + 1), 1, K - 1), F.lit("")))
-        return F.flatten(F.transform(all_, lambda c, i: bottom(_let(_hashes(whole(c, i)), lambda h: _anchors(h, place + i * CHUNK)))))
-
-    return bottom(_let(chunks, own))
-
-
-def fingerprint(parts: Column, text: Column) -> Column:
-    """The fingerprint of a text from the anchors of its parts."""
-    alone = F.when(text == "", F.array().cast("array<long>")).otherwise(F.array(_above(F.xxhash64(text))))
-    return _let(parts, lambda p: F.when(F.size(p) == 0, alone).otherwise(bottom(p)))
+def fingerprint(text: Column) -> Column:
+    """The fingerprint of a text (array<long>)."""
+    alone = F.when(text.rlike(r"\S"), F.array(_above(F.xxhash64(F.array_join(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), " "))))).otherwise(F.array().cast("array<long>"))
+    return _let(bottom(anchors(text)), lambda p: F.when(F.size(p) == 0, alone).otherwise(p))
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: array<long>, the fingerprint of column `text` (not null)."""
-    return df.withColumn(out, fingerprint(part(F.col(text), F.lit(0)), F.col(text)))
+    return df.withColumn(out, fingerprint(F.col(text)))
 
 
 def as_text(sketch: Column) -> Column:
@@ -125,9 +110,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, n_chars, before, sketch, next_text, next_sketch): every document with the one after it in descending order of ids.
-
-    `before` is the fingerprint of the text without its last third.
+    """(id, text, sketch, next_text, next_sketch): every document with the one after it in descending order of ids.
 
     One shuffle of the texts: documents go to buckets of ids; the greatest of a bucket goes to the one above it, too,
     and the greatest of all to the lowest, where they only serve as the next of others.
@@ -137,10 +120,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounds = range_bounds(own, "id", partitions_for(size or 0, BUCKET_BYTES))
     place = range_bucket(F.col("id"), bounds)
     top = NO_ID if top is None else top
-    n = F.char_length("text")
-    stays = n - F.floor(n / 3).cast("int")
-    halves = own.withColumn("n_chars", n.cast("long")).withColumn("before", part(F.substring("text", F.lit(1), stays), F.lit(0)))
-    sketched = halves.withColumn("sketch", fingerprint(F.concat("before", end_of("text", stays)), F.col("text"))).withColumn("bucket", place.cast("int"))
+    sketched = with_sketch(own, "text", "sketch").withColumn("bucket", place.cast("int"))
     above = _is_bound(F.col("id"), F.col("bucket"), bounds)
     homes = F.array_compact(
         F.array(
@@ -149,7 +129,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.when(F.col("id") == top, F.struct(F.lit(0).alias("at"), F.lit(2).alias("role"))),
         )
     )
-    held = ["id", "text", "n_chars", "before", "sketch"]
+    held = ["id", "text", "sketch"]
     sent = sketched.select(*held, F.explode(homes).alias("home")).select(*held, "home.at", "home.role").repartition(2 * len(bounds) + 1, "at")  # a width that grows with the texts
     order = Window.partitionBy("at").orderBy((F.col("role") == 2).asc(), F.col("id").desc(), F.xxhash64("text"))
     after = sent.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where("role = 0")
@@ -163,18 +143,11 @@ def _is_bound(key: Column, bucket: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), bucket) == key, F.lit(False))
 
 
-def end_of(text: str, stays: Column) -> Column:
-    """The anchors of column `text` that reach beyond its first `stays` characters."""
-    first = F.greatest(stays - (K - 1), F.lit(0))
-    return part(F.substring(text, first + 1, F.char_length(text)), first)
-
-
 def op9_syncmers(docs: DataFrame) -> DataFrame:
-    pairs = with_next(docs, "doc_id", "text")
+    pairs = with_next(docs, "doc_id", "text").withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    stays = F.col("n_chars").cast("int") - cut
-    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), stays), F.substring("next_text", F.lit(1), cut))).withColumn("stays", stays).drop("text", "next_text")
-    both = edited.withColumn("edited_sketch", fingerprint(F.concat("before", end_of("edited", F.col("stays"))), F.col("edited")))
+    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut))).drop("text", "next_text")
+    both = with_sketch(edited, "edited", "edited_sketch")
     return both.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),

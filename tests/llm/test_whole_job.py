@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import random
+import re
 import struct
 
 import xxhash
@@ -140,20 +141,27 @@ def test_more_licences_and_spdx_lines(spark):
 
 
 def _signed(x):
+    x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
 
 
+def _long_hash(*values):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", _signed(v)), seed)
+    return seed
+
+
 def _fingerprint(t):
-    """Closed syncmers of characters by brute force: hash -> first place, the least 64."""
-    inner = [_signed(xxhash.xxh64_intdigest(t[i : i + 7].encode(), 42)) for i in range(len(t) - 6)]
+    """Closed syncmers of tokens by brute force: hash -> first place, the least 64."""
+    tokens = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^ \t\n\x0b\x0c\r]{1,8}", t)]
+    inner = [_signed(_long_hash(a, b)) for a, b in zip(tokens, tokens[1:], strict=False)]
     own = {}
-    for i in range(len(t) - 13):
-        w = inner[i : i + 8]
-        if min(w) in (w[0], w[7]):
-            h = xxhash.xxh64_intdigest(struct.pack("<q", w[7]), xxhash.xxh64_intdigest(struct.pack("<q", w[0]), 42)) >> 25
-            own.setdefault(h, i)
-    if not own and t:
-        own = {xxhash.xxh64_intdigest(t.encode(), 42) >> 25: 0}
+    for i in range(len(inner) - 2):
+        if min(inner[i : i + 3]) in (inner[i], inner[i + 2]):
+            own.setdefault(_long_hash(inner[i], inner[i + 2]) >> 25, i)
+    if not own and tokens:
+        own = {xxhash.xxh64_intdigest(" ".join(re.findall(r"[^ \t\n\x0b\x0c\r]+", t)).encode(), 42) >> 25: 0}
     return dict(sorted(own.items())[:64])
 
 
@@ -173,7 +181,6 @@ def _hex(f):
 
 def test_syncmers_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "BUCKET_BYTES", 4000)
-    monkeypatch.setattr(syncmers, "CHUNK", 50)
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdeé😀") for _ in range(rng.randint(1, 8))) for _ in range(200)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(40)]
