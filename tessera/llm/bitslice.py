@@ -1,4 +1,7 @@
-"""Hamming distances by bit slices: planes of bits, carry-save counters, early abandoning of blocks."""
+"""Hamming distances by bit slices: planes of bits, carry-save counters, early abandoning of blocks.
+
+Codes are numbers, so there are no nulls here; no codes, or one, give no links; equal codes link at any radius.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +23,13 @@ def within(x: np.ndarray, radius: int, live: np.ndarray) -> np.ndarray:
     """Of 64-bit words of pairs: those whose set planes number at most radius, as bits.
 
     x: (planes, words), bit i of a word in plane p set if pair i differs in bit p. live: (words,) the pairs that count.
-    Counters are bit-sliced: level j holds bit j of 64 counts; a plane is added with a chain of half adders and
-    carries beyond the top level set `over`. After every eight planes the blocks in which every live pair
-    is over the radius are given up.
+    Counters are bit-sliced: level j holds bit j of 64 counts. Planes are added eight at a time by a tree of carry-save adders
+    (three bits of one level become one of it and one of the next), which leaves one carry of weight eight for the levels above;
+    carries beyond the top level set `over`. After every eight planes the blocks in which every live pair is over the radius are given up.
     """
-    levels = max(1, int(radius).bit_length())
+    levels = max(3, int(radius).bit_length())
+    if x.shape[0] % 8:
+        x = np.concatenate([x, np.zeros((-x.shape[0] % 8, x.shape[1]), np.uint64)])
     n = x.shape[1]
     out = np.zeros(n, np.uint64)
     for lo in range(0, n, BLOCK * 64):
@@ -39,17 +44,25 @@ def within(x: np.ndarray, radius: int, live: np.ndarray) -> np.ndarray:
         alive = alive.reshape(-1, BLOCK)
         count = [np.zeros_like(alive) for _ in range(levels)]
         over = ~alive
-        for p in range(xs.shape[0]):
-            carry = xs[p, blocks] if len(blocks) < xs.shape[1] else xs[p]
-            for j in range(levels):
+        for p in range(0, xs.shape[0], 8):
+            a = [xs[q, blocks] if len(blocks) < xs.shape[1] else xs[q] for q in range(p, p + 8)]
+            ones, twos, fours = count[:3]
+            ones, t1 = _added(ones, a[0], a[1])
+            ones, t2 = _added(ones, a[2], a[3])
+            twos, f1 = _added(twos, t1, t2)
+            ones, t1 = _added(ones, a[4], a[5])
+            ones, t2 = _added(ones, a[6], a[7])
+            twos, f2 = _added(twos, t1, t2)
+            fours, carry = _added(fours, f1, f2)
+            count[:3] = ones, twos, fours
+            for j in range(3, levels):
                 count[j], carry = count[j] ^ carry, count[j] & carry
             over = over | carry
-            if p % 8 == 7:
-                keep = (~(over | _greater(count, radius))).any(axis=1)
-                if not keep.all():
-                    blocks, over, count = blocks[keep], over[keep], [c[keep] for c in count]
-                    if not len(blocks):
-                        break
+            keep = (~(over | _greater(count, radius))).any(axis=1)
+            if not keep.all():
+                blocks, over, count = blocks[keep], over[keep], [c[keep] for c in count]
+                if not len(blocks):
+                    break
         if len(blocks):
             part = np.zeros((size // BLOCK, BLOCK), np.uint64)
             part[blocks] = ~(over | _greater(count, radius))
@@ -57,6 +70,12 @@ def within(x: np.ndarray, radius: int, live: np.ndarray) -> np.ndarray:
     return out
 
 
+def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A carry-save adder: the sum bits and the carries of three words."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
 def _greater(count: list[np.ndarray], radius: int) -> np.ndarray:
     """Bits of the counters whose value is more than radius."""
     more, same = np.zeros_like(count[0]), np.full_like(count[0], np.uint64(0xFFFFFFFFFFFFFFFF))

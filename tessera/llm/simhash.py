@@ -11,7 +11,6 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bitslice import spanning_links
-from tessera.llm.common import forget, ship, written
+from tessera.llm.common import partitions_for, ship, written
 from tessera.llm.components import components
 
 SEED = 42
+SPREAD = 20_000  # fingerprints of which one task makes bucket keys
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # of a byte, highest first
 
@@ -114,7 +114,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     own = written(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), words)[0].alias("fp")), "fp")
     codes = own.groupBy("fp").agg(F.min("id").alias("least"))
-    links = fingerprint_links(codes.select("fp"), radius)
+    spread = partitions_for(own.count(), SPREAD)  # a key for each choice of blocks is made of every code: not in a few large tasks
+    links = fingerprint_links(codes.select("fp").repartition(spread, "fp"), radius)
     member = components(links)
     inside = member.join(codes, member.node == codes.fp).select("fp", "root", "least")
     component = inside.groupBy("root").agg(F.min("least").alias("component"))
