@@ -34,7 +34,6 @@ from tessera.llm.tokenizing import in_parts
 BUCKETS, DIM = 1 << 17, 16
 GRAMS = (3, 4)
 SAMPLE = 6_000  # labelled documents that are learned from at most: those of the least hashes of their ids
-SAMPLE_WORDS = 128  # words of a document drawn for one step of training; scoring takes all
 CACHE = 200_000
 SAME = "\x00"  # stands for a word that repeats the one before
 _PRIME = np.uint64(0x100000001B3)
@@ -137,7 +136,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
         own = np.array([vocabulary[w] for w in words], np.int64)
         if len(own) > 1:
             own[1:] = np.where(own[1:] == own[:-1], 0, own[1:])
-        docs.append(own)
+        docs.append(np.unique(own, return_counts=True))
     vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
     square, layer_square, bias_square = np.full(BUCKETS, 1e-4, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-1, np.float32)
@@ -147,15 +146,15 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             own = order[lo : lo + batch]
-            drawn = [docs[d] if len(docs[d]) <= SAMPLE_WORDS else docs[d][rng.integers(0, len(docs[d]), SAMPLE_WORDS)] for d in own]
-            sizes = np.array([len(w) for w in drawn])
-            words = np.concatenate(drawn)
+            sizes = np.array([len(docs[d][0]) for d in own])  # different words of each document
+            words, times = (np.concatenate([docs[d][i] for d in own]) for i in (0, 1))
             if not len(words):
                 continue
             n = each[words]
+            total = np.array([max(1, int(docs[d][1].sum())) for d in own])
             at = np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             flat = buckets[at]
-            share = np.repeat(1 / n / np.repeat(sizes, sizes), n)
+            share = np.repeat(times / n / np.repeat(total, sizes), n)
             doc = np.repeat(np.repeat(np.arange(len(own)), sizes), n)
             uniq, inv = np.unique(flat, return_inverse=True)
             mix = np.bincount(doc * len(uniq) + inv, weights=share, minlength=len(own) * len(uniq)).reshape(len(own), -1).astype(np.float32)
@@ -182,19 +181,11 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
 def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int = SAMPLE) -> tuple[list[str], list[int]]:
     """At most `most` labelled texts on the driver: those whose ids have the least hashes."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(most)
+    there = docs.select(F.col(id_col).cast("long").alias("id"))
+    chosen = known.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id", "y").limit(most)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "y", F.crc32(F.col("t").cast("binary"))).limit(most)
-    texts, ys = [], []
-    for r in rows.toLocalIterator():
-        texts.append(_clip(r.t))
-        ys.append(r.y)
-    return texts, ys
-
-
-def _clip(text: str, words: int = 4 * SAMPLE_WORDS) -> str:
-    """Of a very long training text, words taken evenly over its whole length (training draws from these)."""
-    own = text.split()
-    return text if len(own) <= words else " ".join(own[:: -(-len(own) // words)])
+    found = [(r.t, r.y) for r in rows.toLocalIterator()]
+    return [t for t, _ in found], [y for _, y in found]
 
 
 def scored(text: Column, model: Model, spark) -> Column:
