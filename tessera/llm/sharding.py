@@ -10,8 +10,9 @@ hash of its ids.
 A quantile is found without sorting or gathering rows: each pass adds up weights by node and slice of the current
 interval of keys, and narrows the interval to one slice. The driver sees at most SLICES sums for each node.
 
-Dimensions: source and language (hashes as numbers of 0 to 1, so equal values lie together), length of the text (log
-scale) and the hash of the text; the last also breaks ties, so any set of points can be split.
+Dimensions: source and language (as numbers of their characters behind what all values begin with, so that equal values lie together and
+similar ones near each other) and the length of the text (log scale), each from its least value, 0, to its greatest, 1. A hash of the
+text only breaks ties, so any set of points can be split.
 
 Nulls: a null text weighs the overhead only and is one group with empty texts; null sources and languages are values
 of their own; a null id is kept. Repeated rows are rows. Empty tables give no rows.
@@ -19,6 +20,8 @@ of their own; a null id is kept. Repeated rows are rows. Empty tables give no ro
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from tessera.llm.common import numbered, written
 
 SHARDS, OVERHEAD = 40, 16
 LUMP = 0.02  # of a shard
-DIMENSIONS = ("source", "lang", "length", "text")
+DIMENSIONS = ("source", "lang", "length")
 _HALF = 18  # bits of a coordinate, and of the tie-breaker behind it
 SLICES, PASSES = 4096, 3
 
@@ -41,10 +44,19 @@ def _points(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("grp"),
-        F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))).alias("src"), F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit("\0"))).alias("lng"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lng"),
     )
 
 
+def _number(name: Column, skip: int) -> Column:
+    """Six bytes of a name, after `skip` of them, as a number."""
+    return F.conv(F.rpad(F.hex(F.substring(name.cast("binary"), skip + 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def _scaled(value: Column, least: float | None, most: float | None) -> Column:
+    return (value - least) / (most - least) if least is not None and most > least else F.lit(0.0)
+
+
 def _key(coordinate: Column, tie: Column) -> Column:
     """A long: the coordinate in the upper half, the tie-breaker in the lower."""
     scale = 1 << _HALF
@@ -70,7 +82,7 @@ def tree(points: DataFrame, room: list[float]) -> Column:
         if not wide:
             return _leaf(splits, {n: a for n, (a, b) in spans.items() if n not in splits})
         at = points.withColumn("node", _leaf(splits, {n: n for n in spans if n not in splits})).where(F.col("node").isin(wide))
-        spread = at.groupBy("node").agg(F.sum("w").alias("w"), *[(F.max(f"k{d}") - F.min(f"k{d}")).alias(f"s{d}") for d in dims]).collect()
+        spread = at.groupBy("node").agg(F.sum("w").alias("w"), *[(F.shiftright(F.max(f"k{d}"), _HALF) - F.shiftright(F.min(f"k{d}"), _HALF)).alias(f"s{d}") for d in dims]).collect()
         goal, along = dict.fromkeys(wide, 0.0), dict.fromkeys(wide, 0)
         for r in spread:
             a, b = spans[r.node]
@@ -123,7 +135,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     light = known.where("pieces is null")
     units = light.groupBy("grp").agg(F.sum("size").alias("w"), F.min("src").alias("src"), F.min("lng").alias("lng"), F.max("size").alias("long"))
     tie = _unit(F.xxhash64("grp", F.lit("tie")))
-    coordinates = [_unit(F.col("src")), _unit(F.col("lng")), F.log2("long") / 40, _unit(F.xxhash64("grp", F.lit("place")))]
+    ends = rows.agg(F.min("src"), F.max("src"), F.min("lng"), F.max("lng")).first()
+    skip = [len(os.path.commonprefix([(a or "").encode(), (b or "").encode()])) for a, b in (ends[:2], ends[2:])]  # what least and greatest begin with, all do
+    raw = [_number(F.col("src"), skip[0]), _number(F.col("lng"), skip[1]), F.log2("long")]
+    span = units.agg(*[f(c) for c in raw for f in (F.min, F.max)]).first()
+    coordinates = [_scaled(c, span[2 * d], span[2 * d + 1]) for d, c in enumerate(raw)]
     points = written(units.select("grp", "w", *[_key(c, tie).alias(f"k{d}") for d, c in enumerate(coordinates)]), "units")
     placed = points.select("grp", tree(points, room).alias("shard"))
     columns = ["id", "size", "crc", "shard"]
