@@ -127,20 +127,21 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
         prior = min(max(sum(labels) / len(labels), 0.01), 0.99) if labels else 0.5
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     y = np.array(labels)
-    split = [t.split() for t in texts]
-    vocabulary = {w: i for i, w in enumerate([SAME, *sorted(set().union(*split) - {SAME})])}
-    buckets, each = word_features(list(vocabulary))
-    begin = np.cumsum(each) - each
-    docs = []
-    for words in split:
-        own = np.array([vocabulary[w] for w in words], np.int64)
+    vocabulary: dict[str, int] = {SAME: 0}
+    docs = []  # different words of each document, and how often each occurs
+    for t in texts:
+        own = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), np.int32)
         if len(own) > 1:
             own[1:] = np.where(own[1:] == own[:-1], 0, own[1:])
-        docs.append(np.unique(own, return_counts=True))
+        docs.append(tuple(x.astype(np.int32) for x in np.unique(own, return_counts=True)))
+    parts = [tuple(x.astype(np.int32) for x in word_features(p)) for p in _even(list(vocabulary), 10_000)]
+    buckets, each = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    del vocabulary, parts
+    begin = np.cumsum(each, dtype=np.int64) - each
     vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
     square, layer_square, bias_square = np.full(BUCKETS, 1e-4, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-1, np.float32)
-    batch = 32
+    batch, column = 32, np.zeros(BUCKETS, np.int64)
     steps, step = epochs * -(-len(y) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -156,7 +157,11 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
             flat = buckets[at]
             share = np.repeat(times / n / np.repeat(total, sizes), n)
             doc = np.repeat(np.repeat(np.arange(len(own)), sizes), n)
-            uniq, inv = np.unique(flat, return_inverse=True)
+            seen = np.zeros(BUCKETS, bool)
+            seen[flat] = True
+            uniq = np.flatnonzero(seen)
+            column[uniq] = np.arange(len(uniq))
+            inv = column[flat]
             mix = np.bincount(doc * len(uniq) + inv, weights=share, minlength=len(own) * len(uniq)).reshape(len(own), -1).astype(np.float32)
             own_vectors = vectors[uniq]
             hidden = mix @ own_vectors
