@@ -6,6 +6,7 @@ an edge. Component, community and other labels are canonical: the least node.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -173,12 +174,24 @@ def _neighbourhood(edges: DataFrame) -> DataFrame:
 
 
 def _links_among(edges: DataFrame) -> DataFrame:
-    """(node, k, links): neighbours of a node and the directed edges among them."""
+    """(node, k, links): neighbours of a node and the directed edges among them.
+
+    Every pair of linked nodes is pointed at the one of higher degree, so that a node starts few wedges, however many neighbours it has;
+    each triangle is found once, and an edge of it (or two, one each way) counts for the node on the other side.
+    """
     near = _neighbourhood(edges)
     k = near.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("k"))
     arcs = edges.where("src <> dst").select("src", "dst").distinct()
-    x = near.select(F.col("a").alias("node"), F.col("b").alias("src")).join(arcs, "src").join(near.select(F.col("a").alias("node"), F.col("b").alias("dst")), ["node", "dst"])
-    links = x.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    ways = arcs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("ways"))
+    ranked = ways.join(k.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    up = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
+    pointed = cut(ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"), "ways"))
+    one = pointed.select("low", F.col("high").alias("mid"), F.col("ways").alias("w1"))
+    two = pointed.select("low", F.col("high").alias("top"), F.col("ways").alias("w2"))
+    wedge = one.join(two, "low")
+    ends = pointed.select(F.col("low").alias("mid"), F.col("high").alias("top"), F.col("ways").alias("w3"))
+    corners = F.array(F.struct(F.col("low").alias("node"), F.col("w3").alias("n")), F.struct(F.col("mid").alias("node"), F.col("w2").alias("n")), F.struct(F.col("top").alias("node"), F.col("w1").alias("n")))
+    links = wedge.join(ends, ["mid", "top"]).select(F.explode(corners).alias("c")).groupBy("c.node").agg(F.sum("c.n").alias("links"))
     return nodes(edges).join(k, "node", "left").join(links, "node", "left").fillna(0, ["k", "links"])
 
 
@@ -353,7 +366,8 @@ def as_of(history: DataFrame, t: int, start: str = "valid_from", end: str = "val
 
 def rag(edges: DataFrame, seeds: DataFrame, depth: int, k: int, rrf_k: float = 60.0, allowed: DataFrame | None = None) -> DataFrame:
     """(id, rrf_score): seeds (id, rank) from a search, widened by `depth` steps; both rankings fused. Expansion ranks by depth, then node."""
-    from tessera.operators.search import fused, with_rank
+    from tessera.operators.ranking import ranked
+    from tessera.operators.search import fused
 
     if not (rrf_k >= 0 and rrf_k != float("inf")):
         raise ValueError("rrf_k must be finite and not negative")
@@ -361,5 +375,115 @@ def rag(edges: DataFrame, seeds: DataFrame, depth: int, k: int, rrf_k: float = 6
     if allowed is not None:
         steps = steps.join(allowed.select(F.col("node").alias("b")).distinct(), "b", "left_semi")
     found = levels(steps, seeds.select(F.lit(0).alias("origin"), F.col("id").alias("node")), depth)
-    wide = with_rank(found.select(F.col("node").alias("id"), "depth").orderBy("depth", "id").limit(10_000), F.col("depth"), F.col("id"))
+    wide = ranked(found.select(F.col("node").alias("id"), "depth"), "depth", "id", descending=False)
     return fused([(seeds, rrf_k), (wide, rrf_k)], k)
+
+
+def graph_rag(edges: DataFrame, docs: DataFrame, query_vector: list[float], k: int, depth: int = 2, query_text: str | None = None, seeds: int = 10, seed_ids: Sequence[object] = (), rrf_k: float = 60.0, allowed: DataFrame | None = None, metric: str = "l2", id_col: str = "id", vec_col: str = "embedding", text_col: str = "text") -> DataFrame:
+    """(id, rrf_score): the nearest documents, those that a text search finds and the caller's own are seeds of an expansion; all rankings fused.
+
+    The best `seeds` of each search are taken. allowed (node) bounds seeds and every step.
+    """
+    from tessera.operators.search import bm25_top_k, fused, vector_top_k, with_rank
+
+    own = docs if allowed is None else docs.join(allowed.select(F.col("node").alias(id_col)).distinct(), id_col, "left_semi")
+    legs = [with_rank(vector_top_k(own, query_vector, seeds, metric, id_col, vec_col), F.col("distance"), F.col("id")).select("id", "rank")]
+    if query_text is not None:
+        legs.append(with_rank(bm25_top_k(own, query_text, seeds, id_col=id_col, text_col=text_col), F.desc("score"), F.col("id")).select("id", "rank"))
+    if seed_ids:
+        given = own.where(F.col(id_col).isin(list(seed_ids))).select(F.col(id_col).alias("id"))
+        legs.append(with_rank(given, F.col("id")).select("id", "rank"))
+    every = cut(legs[0] if len(legs) == 1 else fused([(leg, rrf_k) for leg in legs], seeds * 2 + len(seed_ids)).withColumnRenamed("rrf_score", "score").transform(lambda d: with_rank(d, F.desc("score"), F.col("id")).select("id", "rank")))
+    return rag(edges, every, depth, k, rrf_k, allowed)
+
+
+def bfs_leg(edges: DataFrame, seed: object, depth: int) -> DataFrame:
+    """(id, rank): nodes in the order in which a search from the seed along outgoing edges finds them (by steps, then node), the seed first."""
+    from tessera.operators.ranking import ranked
+
+    return ranked(hop(edges, [seed], depth).select(F.col("node").alias("id"), "depth"), "depth", "id", descending=False).select("id", "rank")
+
+
+def put_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges with those of `new` (src, label, dst, more columns) added, or replaced where they are there."""
+    key = ["src", "label", "dst"]
+    return edges.join(new.select(*key).distinct(), key, "left_anti").select(*edges.columns).unionByName(new, allowMissingColumns=True)
+
+
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those of `gone` (src, label, dst)."""
+    key = ["src", "label", "dst"]
+    return edges.join(gone.select(*key).distinct(), key, "left_anti").select(*edges.columns)
+
+
+def delete_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those at the nodes of `gone` (node)."""
+    ids = gone.select("node").distinct()
+    return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_anti").join(ids.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def set_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Node labels (node, label) with those of `new`; a node may have several."""
+    return labels.select("node", "label").union(new.select("node", "label")).distinct()
+
+
+def remove_labels(labels: DataFrame, gone: DataFrame) -> DataFrame:
+    return labels.join(gone.select("node", "label").distinct(), ["node", "label"], "left_anti").select("node", "label")
+
+
+def compacted(edges: DataFrame, files: int) -> DataFrame:
+    """The edges, each once, in `files` partitions by source."""
+    return edges.dropDuplicates(["src", "label", "dst"]).repartition(files, "src").sortWithinPartitions("src", "label", "dst")
+
+
+def parse_match(text: str) -> dict:
+    """A MATCH statement as the arguments of match(): chains of (a:Label)-[:TYPE*1..3]->(b), OPTIONAL MATCH, NOT EXISTS { }, WHERE, RETURN, ORDER BY, LIMIT."""
+    flat = " ".join(text.split()).rstrip("; ")
+    parts = re.fullmatch(r"MATCH (?P<match>.+?)(?P<optional>(?: OPTIONAL MATCH .+?)*)(?: WHERE (?P<where>.+?))? RETURN (?P<distinct>DISTINCT )?(?P<returns>.+?)(?: ORDER BY (?P<order>.+?))?(?: LIMIT (?P<limit>\d+))?", flat, re.I)
+    if not parts:
+        raise ValueError("not a MATCH statement that is understood")
+    out: dict = {"node_labels": {}, "var_length": {}, "optional": [], "not_exists": []}
+    fresh = iter(range(1 << 20))
+
+    def chain(pattern: str, walks: bool) -> list[tuple[str, str | None, str, str]]:
+        triples = []
+        for path in re.split(r"\s*,\s*(?=\()", pattern.strip()):
+            node = r"\(\s*(\w*)\s*(?::\s*(\w+))?\s*\)"
+            edge = r"\s*(<?)-(?:\[\s*\w*\s*(?::\s*(\w+))?\s*(?:\*\s*(\d+)?\s*(?:\.\.\s*(\d+))?)?\s*\])?-(>?)\s*"
+            if not re.fullmatch(node + f"(?:{edge}{node})*", path):
+                raise ValueError(f"pattern {path!r} is not understood")
+            names = []
+            for name, label in re.findall(node, path):
+                names.append(name or f"_n{next(fresh)}")
+                if label:
+                    out["node_labels"][names[-1]] = label
+            for (back, kind, least, most, ahead), a, b in zip(re.findall(edge + r"(?=\()", path), names[:-1], names[1:], strict=True):
+                direction = "both" if bool(back) == bool(ahead) else "in" if back else "out"
+                if least or most:
+                    if not walks or not most:
+                        raise ValueError("walks need an upper bound and stand in the first MATCH")
+                    out["var_length"][len(triples)] = (int(least or 1), int(most))
+                triples.append((a, kind or None, b, direction))
+        return triples
+
+    out["pattern"] = chain(parts["match"], True)
+    for o in re.findall(r"OPTIONAL MATCH (.+?)(?= OPTIONAL MATCH |$)", parts["optional"], re.I):
+        out["optional"] += chain(o, False)
+    where = parts["where"] or ""
+    for negated in re.findall(r"NOT EXISTS \{ ?(?:MATCH )?(.+?) ?\}", where, re.I):
+        out["not_exists"] += chain(negated, False)
+    kept = [c for c in re.split(r"\s+AND\s+", where, flags=re.I) if c and not re.match(r"NOT EXISTS \{", c, re.I)]
+    out["where"] = " AND ".join(kept) or None
+    out["returns"] = [re.sub(r"(?i)^(\w+)$", r"\1", c.strip()) for c in parts["returns"].split(",")]
+    out["distinct"] = bool(parts["distinct"])
+    out["order"] = [c.strip() for c in parts["order"].split(",")] if parts["order"] else None
+    out["limit"] = int(parts["limit"]) if parts["limit"] else None
+    return out
+
+
+def match_text(edges: DataFrame, text: str, labels: DataFrame | None = None) -> DataFrame:
+    """The rows of a MATCH statement, see parse_match()."""
+    asked = parse_match(text)
+    if asked["node_labels"] and labels is None:
+        raise ValueError("node labels are asked for, and there are none")
+    return match(edges, asked.pop("pattern"), labels, **asked)

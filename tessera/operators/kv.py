@@ -88,6 +88,14 @@ def compare_and_set(kv: DataFrame, key: object, expected: str, new: str, now: in
     return alive(kv, now).withColumn("value", F.when((F.col("key") == F.lit(key)) & (F.col("value") == expected), F.lit(new)).otherwise(F.col("value")))
 
 
+def get_and_set(kv: DataFrame, key: object, new: str, now: int) -> tuple[DataFrame, DataFrame]:
+    """The table with `new` at key (added if it isn't there), and one row `value`: what was there before, or null."""
+    held = alive(kv, now)
+    old = held.where(F.col("key") == F.lit(key)).agg(F.max("value").alias("value"))
+    one = kv.sparkSession.range(1).select(F.lit(key).cast(kv.schema["key"].dataType).alias("key"), F.lit(new).alias("value"), F.lit(None).cast("long").alias("expires_at"))
+    return held.where(F.col("key") != F.lit(key)).unionByName(one), old
+
+
 def transfer(kv: DataFrame, source: object, target: object, amount: float, now: int) -> DataFrame:
     """Move a number from one key to another; too little there is an error."""
     held = alive(kv, now)
@@ -105,6 +113,27 @@ def field_set(kv: DataFrame, key: object, field: str, value: Column, fields: Seq
     return held.withColumn("value", F.when(F.col("key") == F.lit(key), F.to_json(F.struct(*parts))).otherwise(F.col("value")))
 
 
+def transfer_item(kv: DataFrame, source: object, target: object, field: str, fields: Sequence[str], now: int) -> DataFrame:
+    """Move one field of a JSON object (with the given fields) to another key's; a source without it, or no target, is an error."""
+    held = alive(kv, now)
+    found = {r.key: r.item for r in held.where(F.col("key").isin([source, target])).select("key", F.get_json_object("value", f"$.{field}").alias("item")).collect()}
+    if found.get(source) is None or target not in found:
+        raise ValueError("nothing to transfer")
+    moved = F.when(F.col("key") == F.lit(target), F.lit(found[source]))
+    parts = [(moved if f == field else F.get_json_object("value", f"$.{f}")).alias(f) for f in dict.fromkeys([*fields, field])]
+    return held.withColumn("value", F.when(F.col("key").isin([source, target]), F.to_json(F.struct(*parts))).otherwise(F.col("value")))
+
+
+def field_index(kv: DataFrame, field: str, now: int) -> DataFrame:
+    """(item, key): a secondary index over a field of JSON values, for a table sorted or bucketed by item."""
+    return alive(kv, now).select(F.get_json_object("value", f"$.{field}").alias("item"), "key").where(F.col("item").isNotNull())
+
+
+def by_field(index: DataFrame, kv: DataFrame, item: str, now: int) -> DataFrame:
+    """Live entries whose indexed field is `item`."""
+    return alive(kv, now).join(index.where(F.col("item") == item).select("key"), "key", "left_semi")
+
+
 def leaderboard(df: DataFrame, score: str = "score", key: str = "key", descending: bool = True, window: str | None = None, now: str | None = None, ts: str = "ts", custom: tuple[str, str] | None = None) -> DataFrame:
     """df's scored rows with `rank` by (score, key). window 'day', 'week' or 'month' keeps those since the start of now's; custom keeps [start, end)."""
     own = df.where(F.col(score).isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def ranked(df: DataFrame, score: str, key: str, descending: bool = True, out: str = "rank", per_bucket: int = 1_000_000) -> DataFrame:
     """df with `out`: 1-based place by (score, key); rows are numbered in buckets of scores and shifted by the buckets before.
 
-    Equal scores share a bucket. Null scores come last.
+    A bucket's equal scores that are too many for one task are cut by ranges of the key in turn. Null scores come last.
     """
     n = df.count()
     parts = min(10_000, max(1, -(-n // per_bucket)))

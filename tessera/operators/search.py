@@ -6,6 +6,8 @@ idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Reciprocal ranks are 1 / (k + rank) w
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +35,28 @@ def vector_top_k(df: DataFrame, query: list[float], k: int, metric: str = "l2",
     return df.select(F.col(id_col).alias("id"), vector_distance(v, q, metric).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def vector_put(df: DataFrame, new: DataFrame, dim: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """df with the rows of `new` added, or replaced whole where the id is known; a vector of another dimension is an error."""
+    right = F.when(F.col(vec_col).isNull() | (F.size(vec_col) == dim), F.col(vec_col)).otherwise(F.raise_error(F.lit(f"a vector has not {dim} dimensions")).cast(new.schema[vec_col].dataType))
+    return df.join(new.select(id_col).distinct(), id_col, "left_anti").select(*df.columns).unionByName(new.withColumn(vec_col, right), allowMissingColumns=True)
+
+
+def vector_delete(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    return df.join(ids.select(id_col).distinct(), id_col, "left_anti").select(*df.columns)
+
+
+def vector_stats(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """One row: vectors, rows without one, least and greatest dimension."""
+    return df.agg(F.count(vec_col).alias("vectors"), F.count_if(F.col(vec_col).isNull()).alias("empty"), F.min(F.size(vec_col)).alias("least_dim"), F.max(F.size(vec_col)).alias("most_dim"))
+
+
+def sparse_put(df: DataFrame, new: DataFrame, id_col: str = "id", map_col: str = "weights") -> DataFrame:
+    """df with the maps of `new` added or replaced; a weight that isn't finite is an error."""
+    bad = F.exists(F.map_values(map_col), lambda w: w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")))
+    checked = new.withColumn(map_col, F.when(bad, F.raise_error(F.lit("weight is not finite")).cast(new.schema[map_col].dataType)).otherwise(F.col(map_col)))
+    return df.join(new.select(id_col).distinct(), id_col, "left_anti").select(*df.columns).unionByName(checked, allowMissingColumns=True)
+
+
 def sparse_top_k(df: DataFrame, query: dict[int, float], k: int, id_col: str = "id", map_col: str = "weights") -> DataFrame:
     """(id, score): dot products over shared dimensions, zero scores left out, ties by id. Weights must be finite."""
     terms = F.create_map(*[F.lit(x) for d, w in query.items() for x in (int(d), float(w))])
@@ -61,32 +85,48 @@ def expanded(terms: Sequence[str], synonyms: Sequence[Sequence[str]] = ()) -> li
     return out
 
 
+def asked_terms(query: str, synonyms: Sequence[Sequence[str]] = ()) -> list[str]:
+    """The terms of a query text; a query with NOT is refused."""
+    if re.search(r"\bNOT\b", query):
+        raise ValueError("NOT queries are not supported")
+    return expanded([w for w in re.split(r"[^\w]+|_", query) if w], synonyms)
+
+
+def _close(word: Column, term: str, fuzzy: int) -> Column:
+    return F.levenshtein(word, F.lit(term)) <= fuzzy if fuzzy else word == term
+
+
+def _counts(terms: Sequence[str], fuzzy: int = 0) -> Column:
+    """How often each term occurs among the words `w`."""
+    one = lambda term: F.size(F.filter("w", lambda x: _close(x, term, fuzzy)))
+    return F.array(*map(one, terms))
+
+
+def _scores(x: DataFrame, terms: Sequence[str], mode: str) -> DataFrame:
+    """(id, score) of rows (id, admitted, length, tf: how often each of `terms` occurs); one pass gives the statistics, another the scores."""
+    tf = [F.get("tf", F.lit(i)) for i in range(len(terms))]
+    known = x.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(t > 0).alias(f"d{i}") for i, t in enumerate(tf)]).first()
+    total = F.lit(0.0)
+    for i, t in enumerate(tf):
+        idf = math.log(1 + (known.n - known[f"d{i}"] + 0.5) / (known[f"d{i}"] + 0.5))
+        total = total + F.when(t > 0, idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / F.lit(known.average or 1.0)))).otherwise(0.0)
+    met = F.col("tf")
+    enough = F.forall(met, lambda t: t > 0) if mode == "and" else F.exists(met, lambda t: t > 0)
+    return x.where(F.col("admitted") & enough).select("id", total.alias("score"))
+
+
 def bm25(df: DataFrame, query: str, id_col: str = "id", text_col: str = "text", mode: str = "or", admitted: Column | None = None, synonyms: Sequence[Sequence[str]] = (), fuzzy: int = 0) -> DataFrame:
     """(id, score) of the documents that match; statistics come from all documents, `admitted` limits those that are ranked.
 
-    mode 'and' asks for every term. fuzzy: a term also matches words within that edit distance.
+    mode 'and' asks for every term. fuzzy: a term also matches words within that edit distance. Texts are read twice and no row is
+    moved; for many queries over the same texts keep a text index (`textindex`).
     """
-    import re
-
-    asked = expanded([w for w in re.split(r"[^\w]+|_", query) if w], synonyms)
-    text = words(F.coalesce(F.col(text_col), F.lit("")))
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text)).alias("average"))
-    every = df.select(F.col(id_col).alias("id"), text.alias("w"), (F.lit(True) if admitted is None else F.coalesce(admitted, F.lit(False))).alias("admitted"))
-    terms = every.select("id", "admitted", F.size("w").alias("length"), F.explode("w").alias("word"))
-    if fuzzy:
-        close = F.filter(F.array(*map(F.lit, asked)), lambda a: F.levenshtein(F.col("word"), a) <= fuzzy)
-        hits = terms.select("id", "admitted", "length", F.explode(close).alias("term"))
-    else:
-        hits = terms.where(F.col("word").isin(asked)).withColumnRenamed("word", "term")
-    tf = hits.groupBy("id", "admitted", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms
-    x = tf.where("admitted").join(F.broadcast(df_), "term").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    scores = x.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("_n"))
-    if mode == "and":
-        scores = scores.where(F.col("_n") == len(asked))
-    return scores.drop("_n")
+    terms = asked_terms(query, synonyms)
+    own = df.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), (F.lit(True) if admitted is None else F.coalesce(admitted, F.lit(False))).alias("admitted"))
+    if not terms:
+        return own.where("false").select("id", F.lit(0.0).alias("score"))
+    tf = _counts(terms, fuzzy)
+    return _scores(own.select("id", "admitted", F.size("w").alias("length"), tf.alias("tf")), terms, mode)
 
 
 def bm25_top_k(df: DataFrame, query: str, k: int, **options) -> DataFrame:
@@ -102,16 +142,22 @@ def score_scan(df: DataFrame, query: str, id_col: str = "id", text_col: str = "t
 
 def phrase(df: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score, position): documents with the words in a row; BM25 of all terms, damped by the first position: score / (1 + 0.01 * position)."""
-    import re
-
-    asked = [w for w in re.split(r"[^\w]+|_", query.lower()) if w]
+    asked = asked_terms(query.lower())
+    inorder = [w for w in re.split(r"[^\w]+|_", query.lower()) if w]
     if not asked:
         return df.sparkSession.createDataFrame([], f"id {df.schema[id_col].dataType.simpleString()}, score double, position int")
-    own = df.select(F.col(id_col).alias("id"), F.posexplode(words(F.coalesce(F.col(text_col), F.lit("")))).alias("at", "word")).where(F.col("word").isin(asked))
-    place = F.explode(F.filter(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(a).alias("a")) for j, a in enumerate(asked)]), lambda x: x["a"] == F.col("word"))).alias("x")
-    starts = own.select("id", "at", place).groupBy("id", (F.col("at") - F.col("x.j")).alias("begin")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(asked))
-    found = starts.groupBy("id").agg(F.min("begin").alias("position"))
-    scored = found.join(bm25(df, query, id_col, text_col, "and"), "id")
+    own = df.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+
+    def here(word: Column, i: Column) -> Column:
+        out = word == inorder[0]
+        for j, a in enumerate(inorder[1:], 1):
+            out = out & (F.get("w", i + j) == a)
+        return F.when(out, i)
+
+    tf = _counts(asked)
+    counted = own.select("id", F.lit(True).alias("admitted"), F.size("w").alias("length"), tf.alias("tf"), F.get(F.array_compact(F.transform("w", here)), F.lit(0)).alias("position"))
+    found = counted.where(F.col("position").isNotNull()).select("id", "position")
+    scored = found.join(_scores(counted.drop("position"), asked, "and"), "id")
     return scored.select("id", (F.col("score") / (1 + 0.01 * F.col("position"))).alias("score"), "position")
 
 

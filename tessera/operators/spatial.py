@@ -79,3 +79,36 @@ def boxes_within(df: DataFrame, box: Box, columns: Sequence[str] = ("west", "sou
 
 def nearest(df: DataFrame, point: tuple[float, float], k: int, id_col: str = "id", lon: str = "lon", lat: str = "lat") -> DataFrame:
     return df.withColumn("distance", haversine(F.col(lon), F.col(lat), F.lit(point[0]), F.lit(point[1]))).orderBy("distance", id_col).limit(k)
+
+
+def put_points(df: DataFrame, new: DataFrame, id_col: str = "id", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """df with the points of `new` added, or replaced where the id is known; a place that isn't on the globe is an error."""
+    there = F.col(lon).between(-180, 180) & F.col(lat).between(-90, 90) | F.col(lon).isNull() | F.col(lat).isNull()
+    checked = new.withColumn(lon, F.when(there, F.col(lon)).otherwise(F.raise_error(F.lit("not a place on the globe")).cast("double")))
+    return df.join(new.select(id_col).distinct(), id_col, "left_anti").select(*df.columns).unionByName(checked, allowMissingColumns=True)
+
+
+def delete_points(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    return df.join(ids.select(id_col).distinct(), id_col, "left_anti").select(*df.columns)
+
+
+def in_polygon(lon: Column, lat: Column, rings: Sequence[Ring]) -> Column:
+    """Whether a point is inside a polygon of an outer ring and holes, or a multipolygon given as all of its rings (even-odd rule)."""
+    inside = [in_ring(lon, lat, r).cast("int") for r in rings]
+    return F.pmod(reduce(lambda a, b: a + b, inside), F.lit(2)) == 1
+
+
+def _segment_distance(lon: Column, lat: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:
+    """Metres from a point to a segment, on the plane that touches the globe at the point."""
+    k = math.pi / 180 * EARTH_M
+    x = lambda p: (F.lit(float(p[0])) - lon) * k * F.cos(F.radians(lat))
+    y = lambda p: (F.lit(float(p[1])) - lat) * k
+    dx, dy = x(b) - x(a), y(b) - y(a)
+    long = F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x(a) * dx + y(a) * dy) / long)), F.lit(0.0))
+    return F.hypot(x(a) + t * dx, y(a) + t * dy)
+
+
+def distance_to_line(lon: Column, lat: Column, line: Ring) -> Column:
+    """Metres from a point to a line of two or more places (for distances far below the globe's size)."""
+    return reduce(F.least, [_segment_distance(lon, lat, a, b) for a, b in zip(line[:-1], line[1:], strict=True)]) if len(line) > 2 else _segment_distance(lon, lat, *line)

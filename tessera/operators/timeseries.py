@@ -49,9 +49,22 @@ AGGREGATES = {
 }
 
 
+def aggregate_of(name: str, value: Column, ts: Column) -> Column:
+    """An aggregate by name; 'percentile(0.9)' and 'topk(5)' take an argument, an unknown one is null.
+
+    percentile: a value of the samples (approximate beyond 10,000 different ones); topk: how many different values are tracked, at most k.
+    """
+    m = re.fullmatch(r"(percentile|topk)\(([0-9.]+)\)", name)
+    if m and m[1] == "percentile":
+        return F.percentile_approx(value, float(m[2]))
+    if m:
+        return F.least(F.count_distinct(value), F.lit(int(m[2])))
+    return AGGREGATES[name](value, ts) if name in AGGREGATES else F.lit(None).cast("double")
+
+
 def bucketed(df: DataFrame, width: int, aggs: Sequence[str] = ("count", "sum", "min", "max"), by: Sequence[str] = (), ts: str = "ts", value: str = "value", having: Column | None = None) -> DataFrame:
     """(bucket, by..., one column for each aggregate); unknown aggregates are null."""
-    cols = [(AGGREGATES[a](F.col(value), F.col(ts)) if a in AGGREGATES else F.lit(None).cast("double")).alias(a) for a in aggs]
+    cols = [aggregate_of(a, F.col(value), F.col(ts)).alias(a) for a in aggs]
     out = df.groupBy(bucket_of(F.col(ts), width).alias("bucket"), *by).agg(*cols)
     return out if having is None else out.where(having)
 
@@ -93,7 +106,12 @@ def downsampled(df: DataFrame, width: int, by: Sequence[str] = ("series_id",), t
 
 def merge_rollup(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rollups (bucket, by..., count, sum, min, max) of two sets of samples as that of both; late samples reach old buckets."""
-    return old.unionByName(new).groupBy("bucket", *by).agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+    return merged_rollup(old.unionByName(new), by)
+
+
+def merged_rollup(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rollups of parts of the samples, in one table, as that of all."""
+    return parts.groupBy("bucket", *by).agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def rollup_last(rollup: DataFrame, by: Sequence[str] = ()) -> DataFrame:

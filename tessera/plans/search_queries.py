@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.catalog import Catalog
 from tessera.functions import expressions as X
+from tessera.operators import graph as GR
 from tessera.operators import search as S
 from tessera.operators import spatial as G
+from tessera.operators import textindex as I
 from tessera.plans.registry import pair
+from tessera.plans.router import Router
 
 Q = [round(((i * 37) % 64 - 32) / 64, 4) for i in range(64)]
 _Q = "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in Q) + "]"
@@ -56,11 +60,11 @@ def _docs(t):
     return t.documents.select(F.col("doc_id").alias("id"), "text", "source")
 
 
-_SPARSE_SQL = "SELECT doc_id % 500 AS id, CAST(doc_id % 7 AS INT) AS dim, CAST((doc_id % 11) + 1 AS DOUBLE) / 4 AS w FROM documents WHERE doc_id < 2000"
+_SPARSE_SQL = "SELECT doc_id // 4 AS id, CAST(doc_id % 7 AS INT) AS dim, CAST((doc_id % 11) + 1 AS DOUBLE) / 4 AS w FROM documents"
 
 
 def _sparse(t):
-    flat = t.documents.where("doc_id < 2000").select((F.col("doc_id") % 500).alias("id"), (F.col("doc_id") % 7).cast("int").alias("dim"), (((F.col("doc_id") % 11) + 1).cast("double") / 4).alias("w"))
+    flat = t.documents.select(F.floor(F.col("doc_id") / 4).alias("id"), (F.col("doc_id") % 7).cast("int").alias("dim"), (((F.col("doc_id") % 11) + 1).cast("double") / 4).alias("w"))
     one = flat.groupBy("id", "dim").agg(F.sum("w").alias("w"))
     return one.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "w"))).alias("weights"))
 
@@ -70,6 +74,25 @@ def _hybrid_frame(t):
     return e.join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
 
 
+_LINKS = "(SELECT vec_id, (vec_id * 2 + 1) % (SELECT max(vec_id) + 1 FROM embeddings) AS next FROM embeddings UNION ALL SELECT vec_id, (vec_id * vec_id + 3) % (SELECT max(vec_id) + 1 FROM embeddings) FROM embeddings WHERE label = 2)"
+
+
+def _links(t):
+    """A graph of all embeddings: an edge from each, and another from those of label 2."""
+    v, n = F.col("vec_id"), (t.embeddings.agg(F.max("vec_id")).first()[0] or 0) + 1
+    one = t.embeddings.select(v.alias("src"), F.lit("next").alias("label"), ((v * 2 + 1) % n).alias("dst"))
+    return one.union(t.embeddings.where("label = 2").select(v.alias("src"), F.lit("far").alias("label"), ((v * v + 3) % n).alias("dst")))
+
+
+def _indexed(t):
+    """A search index made and asked by statements."""
+    catalog = Catalog(t.spark)
+    catalog.register("indexed_docs", _docs(t), "document", "id")
+    r = Router(catalog)
+    r.sql("CREATE SEARCH INDEX ON indexed_docs (text, source) ANALYZER 'standard' FUZZY 0")
+    return r.sql(f"SELECT * FROM TEXT_SEARCH(indexed_docs, '{TEXT}', FIELD 'text', LIMIT 15)").select("id", F.round("score", 5).alias("score"))
+
+
 _POINTS = "(SELECT c_custkey AS id, CAST((c_custkey * 7919) % 36000 AS DOUBLE) / 100 - 180 AS lon, CAST((c_custkey * 104729) % 17000 AS DOUBLE) / 100 - 85 AS lat FROM customer)"
 RING = [(-10.0, 35.0), (30.0, 40.0), (25.0, 60.0), (5.0, 70.0), (-12.0, 55.0)]
 _HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(48.85 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.85)) * pow(sin(radians(2.35 - lon) / 2), 2))))"
@@ -103,8 +126,12 @@ QUERIES = {
     "fts_bm25_and": pair(lambda t: S.bm25_top_k(_docs(t), "the of and", 20, mode="and").select("id", F.round("score", 5).alias("score")), _bm25("(VALUES ('the'), ('of'), ('and'))", "HAVING count(*) = 3") + " SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id LIMIT 20"),
     "fts_filter_before_rank": pair(lambda t: S.bm25_top_k(_docs(t), TEXT, 10, admitted=F.col("source") == "src3").select("id", F.round("score", 5).alias("score")), _bm25(where="source = 'src3'") + " SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id LIMIT 10"),
     "fts_synonyms": pair(lambda t: S.bm25_top_k(_docs(t), "thene", 10, synonyms=[["thene", "the", "of"]]).select("id", F.round("score", 5).alias("score")), _bm25() + " SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id LIMIT 10"),
-    "fts_fuzzy": pair(lambda t: S.bm25_top_k(_docs(t), "thenr", 10, fuzzy=1).select("id", F.round("score", 5).alias("score")), None),
-    "fts_score_scan": pair(lambda t: S.score_scan(_docs(t), TEXT, where=F.col("id") % 3 == 0).select("id", F.round("score", 5).alias("score")), _bm25() + " SELECT doc_id AS id, CASE WHEN text IS NOT NULL THEN round(coalesce(score, 0), 5) END AS score FROM documents LEFT JOIN s ON id = doc_id WHERE doc_id % 3 = 0"),
+    "fts_fuzzy": pair(
+        lambda t: S.bm25_top_k(_docs(t), "thenr", 10, fuzzy=1).select("id", F.round("score", 5).alias("score")),
+        f"""WITH w AS (SELECT doc_id AS id, {_WORDS} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM w), tf AS (SELECT id, len(ws) AS l, CAST(len(list_filter(ws, lambda x: levenshtein(x, 'thenr') <= 1)) AS DOUBLE) AS tf FROM w), df AS (SELECT count(*) AS df FROM tf WHERE tf > 0)
+SELECT id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)), 5) AS score FROM tf, df, st WHERE tf > 0 ORDER BY ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) DESC, id LIMIT 10""",
+    ),
+    "fts_score_scan": pair(lambda t: S.score_scan(_docs(t), TEXT).select("id", F.round("score", 5).alias("score")), _bm25() + " SELECT doc_id AS id, CASE WHEN text IS NOT NULL THEN round(coalesce(score, 0), 5) END AS score FROM documents LEFT JOIN s ON id = doc_id"),
     "fts_phrase": pair(
         lambda t: S.phrase(_docs(t), "of the").select("id", F.round("score", 5).alias("score"), F.col("position").cast("bigint").alias("position")),
         _bm25("(VALUES ('the'), ('of'))", "HAVING count(*) = 2") + ", p AS (SELECT id, min(i) - 1 AS position FROM (SELECT id, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM w) WHERE ws[i] = 'of' AND ws[i + 1] = 'the' GROUP BY id) SELECT id, round(score / (1 + 0.01 * position), 5) AS score, CAST(position AS BIGINT) AS position FROM s JOIN p USING (id)",
@@ -117,7 +144,35 @@ QUERIES = {
 tl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s QUALIFY r <= 30)
 SELECT id, round(sum(x), 6) AS rrf_score FROM (SELECT id, 1.0 / (36.0 + r) AS x FROM vl UNION ALL SELECT id, 1.0 / (24.0 + r) FROM tl) GROUP BY id ORDER BY sum(x) DESC, id LIMIT 10""",
     ),
-    "hybrid_triple": pair(lambda t: S.hybrid(_hybrid_frame(t), Q, TEXT, 10, graph=S.with_rank(t.embeddings.where("label = 2").select(F.col("vec_id").alias("id")).orderBy("id").limit(30), F.col("id"))).select("id", F.round("rrf_score", 6).alias("rrf_score")), None),
+    "hybrid_triple": pair(
+        lambda t: S.hybrid(_hybrid_frame(t), Q, TEXT, 10, graph=GR.bfs_leg(_links(t), 1, 3)).select("id", F.round("rrf_score", 6).alias("rrf_score")),
+        _bm25(docs="(SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) hd").replace("WITH w", "WITH RECURSIVE w", 1) + f""", gs AS (SELECT DISTINCT vec_id AS a, next AS b FROM {_LINKS} l), gr(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT gs.b, depth + 1 FROM gr JOIN gs ON gs.a = node WHERE depth < 3),
+vl AS (SELECT id, row_number() OVER (ORDER BY d, id) AS r FROM (SELECT id, {_METRIC['l2']} AS d FROM {_E} e WHERE id IN (SELECT doc_id FROM documents)) x QUALIFY r <= 30), tl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s QUALIFY r <= 30),
+gl AS (SELECT node AS id, row_number() OVER (ORDER BY min(depth), node) AS r FROM gr GROUP BY node)
+SELECT CAST(id AS BIGINT) AS id, round(sum(x), 6) AS rrf_score FROM (SELECT id, 1.0 / (30.0 + r) AS x FROM vl UNION ALL SELECT id, 1.0 / (30.0 + r) FROM tl UNION ALL SELECT id, 1.0 / (60.0 + r) FROM gl) GROUP BY id ORDER BY sum(x) DESC, id LIMIT 10""",
+    ),
+    "hybrid_legs": pair(
+        lambda t: S.hybrid(_hybrid_frame(t), Q, TEXT, 10, vector_k=5, text_k=8, allowed=t.embeddings.where("label <> 1").select(F.col("vec_id").alias("id"))).select("id", F.round("rrf_score", 6).alias("rrf_score")),
+        _bm25(docs="(SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label <> 1)) hd") + f""", vl AS (SELECT id, row_number() OVER (ORDER BY d, id) AS r FROM (SELECT id, {_METRIC['l2']} AS d FROM {_E} e WHERE label <> 1 AND id IN (SELECT doc_id FROM documents)) x QUALIFY r <= 5),
+tl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s QUALIFY r <= 8)
+SELECT id, round(sum(x), 6) AS rrf_score FROM (SELECT id, 1.0 / (30.0 + r) AS x FROM vl UNION ALL SELECT id, 1.0 / (30.0 + r) FROM tl) GROUP BY id ORDER BY sum(x) DESC, id LIMIT 10""",
+    ),
+    "fts_index_search": pair(lambda t: I.build(_docs(t), ["text"]).search(TEXT).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 5).alias("score")), _bm25() + " SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id LIMIT 20"),
+    "fts_index_field": pair(lambda t: I.build(_docs(t), ["text", "source"]).search(TEXT, "text", "and").select("id", F.round("score", 5).alias("score")), _bm25(having="HAVING count(*) = 3") + " SELECT id, round(score, 5) AS score FROM s"),
+    "fts_index_changes": pair(
+        lambda t: I.build(_docs(t).where("source <> 'src2'"), ["text"]).put(_docs(t).where("source IN ('src2', 'src3')")).remove(_docs(t).where("source = 'src1'")).search(TEXT).select("id", F.round("score", 5).alias("score")),
+        _bm25(docs="(SELECT * FROM documents WHERE source <> 'src1') cd") + " SELECT id, round(score, 5) AS score FROM s",
+    ),
+    "fts_index_statements": pair(_indexed, _bm25() + " SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id LIMIT 15"),
+    "vector_put_delete": pair(
+        lambda t: S.vector_delete(S.vector_put(_emb(t), _emb(t).where("label = 1").withColumn("label", F.lit(100)), 64), _emb(t).where("label = 2")).groupBy("label").agg(F.count("embedding").alias("n"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 4).alias("s")),
+        "SELECT CASE label WHEN 1 THEN 100 ELSE label END AS label, CAST(count(*) AS BIGINT) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS s FROM embeddings WHERE label <> 2 GROUP BY 1",
+    ),
+    "vector_stats": pair(lambda t: S.vector_stats(_emb(t)).select("vectors", "empty", F.col("least_dim").cast("bigint").alias("least_dim"), F.col("most_dim").cast("bigint").alias("most_dim")), "SELECT CAST(count(embedding) AS BIGINT) AS vectors, CAST(count(*) - count(embedding) AS BIGINT) AS empty, CAST(min(len(embedding)) AS BIGINT) AS least_dim, CAST(max(len(embedding)) AS BIGINT) AS most_dim FROM embeddings"),
+    "sparse_put": pair(
+        lambda t: S.sparse_top_k(S.sparse_put(_sparse(t), t.region.select(F.col("r_regionkey").cast("bigint").alias("id"), F.create_map(F.lit(1), F.lit(100.0)).alias("weights"))), {1: 1.0, 3: 0.5}, 20),
+        f"SELECT id, sum(w * CASE dim WHEN 1 THEN 1.0 ELSE 0.5 END) AS score FROM (SELECT * FROM ({_SPARSE_SQL}) s WHERE id NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT CAST(r_regionkey AS BIGINT), 1, 100.0 FROM region) u WHERE dim IN (1, 3) GROUP BY id ORDER BY score DESC, id LIMIT 20",
+    ),
     # spatial
     "spatial_dwithin": pair(lambda t: G.within_distance(_points(t), (2.35, 48.85), 1_500_000).select("id", F.round("distance", 2).alias("distance")), f"SELECT id, round(d, 2) AS distance FROM (SELECT id, {_HAV} AS d FROM {_POINTS} p) x WHERE d <= 1500000"),
     "spatial_contains": pair(lambda t: G.contained(_points(t), RING).select("id"), f"SELECT id FROM {_POINTS} p WHERE ({_ring_sql()}) % 2 = 1"),
@@ -125,4 +180,9 @@ SELECT id, round(sum(x), 6) AS rrf_score FROM (SELECT id, 1.0 / (36.0 + r) AS x
     "spatial_intersects": pair(lambda t: G.boxes_intersect(_boxes(t), (0.0, 40.0, 20.0, 50.0)).select("id"), f"SELECT id FROM {_POINTS} p WHERE lon - 2 <= 20 AND lon + 2 >= 0 AND lat - 1 <= 50 AND lat + 1 >= 40"),
     "spatial_within": pair(lambda t: G.boxes_within(_boxes(t), (0.0, 40.0, 20.0, 50.0)).select("id"), f"SELECT id FROM {_POINTS} p WHERE lon - 2 >= 0 AND lon + 2 <= 20 AND lat - 1 >= 40 AND lat + 1 <= 50"),
     "spatial_nearest": pair(lambda t: G.nearest(_points(t), (2.35, 48.85), 10).select("id", F.round("distance", 2).alias("distance")), f"SELECT id, round(d, 2) AS distance FROM (SELECT id, {_HAV} AS d FROM {_POINTS} p) x ORDER BY d, id LIMIT 10"),
+    "spatial_put_delete": pair(
+        lambda t: G.delete_points(G.put_points(_points(t), t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(1.5).alias("lon"), F.lit(2.5).alias("lat"))), t.nation.select(F.col("n_nationkey").cast("bigint").alias("id"))),
+        f"SELECT * FROM (SELECT id, lon, lat FROM {_POINTS} p WHERE id NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, 1.5, 2.5 FROM supplier) u WHERE id NOT IN (SELECT n_nationkey FROM nation)",
+    ),
+    "spatial_polygon_hole": pair(lambda t: _points(t).where(G.in_polygon(F.col("lon"), F.col("lat"), [[(-100.0, -50.0), (100.0, -50.0), (100.0, 50.0), (-100.0, 50.0)], [(-40.0, -20.0), (40.0, -20.0), (40.0, 20.0), (-40.0, 20.0)]])).select("id"), f"SELECT id FROM {_POINTS} p WHERE lon >= -100 AND lon < 100 AND lat >= -50 AND lat < 50 AND NOT (lon >= -40 AND lon < 40 AND lat >= -20 AND lat < 20)"),
 }

@@ -13,12 +13,12 @@ from tessera.plans.registry import pair
 from tessera.plans.router import Router
 
 DIMS = ["x", "y"]
-_CELLS = "(SELECT l_orderkey % 50 AS x, CAST(l_linenumber AS BIGINT) AS y, l_quantity AS qty, l_orderkey * 10 + l_linenumber AS sys, CASE WHEN l_orderkey % 17 = 0 THEN 'tombstone' WHEN l_orderkey % 40 = 39 THEN 'erased' ELSE 'live' END AS tag, l_orderkey AS valid_from, CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey + 300 END AS valid_until FROM lineitem WHERE l_orderkey < 1000)"
+_CELLS = "(SELECT l_orderkey % 50 AS x, CAST(l_linenumber AS BIGINT) AS y, l_quantity AS qty, l_orderkey * 10 + l_linenumber AS sys, CASE WHEN l_orderkey % 17 = 0 THEN 'tombstone' WHEN l_orderkey % 40 = 39 THEN 'erased' ELSE 'live' END AS tag, l_orderkey AS valid_from, CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey + 300 END AS valid_until FROM lineitem)"
 
 
 def cells(t):
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
-    return t.lineitem.where("l_orderkey < 1000").select(
+    return t.lineitem.select(
         (o % 50).alias("x"), n.cast("bigint").alias("y"), F.col("l_quantity").alias("qty"), (o * 10 + n).alias("sys"), F.when(o % 17 == 0, "tombstone").when(o % 40 == 39, "erased").otherwise("live").alias("tag"), o.alias("valid_from"), F.when(o % 2 == 0, o + 300).alias("valid_until"),
     )
 
@@ -34,15 +34,15 @@ def _unique_cells(t):
 
 
 def _stock(t):
-    return t.part.where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("qty"), F.col("p_brand").alias("name"))
+    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("qty"), F.col("p_brand").alias("name"))
 
 
 def _delivery(t):
-    return t.part.where("p_partkey BETWEEN 300 AND 500").select(F.col("p_partkey").alias("id"), F.lit(7).cast("bigint").alias("qty"), F.lit("new").alias("name"))
+    return t.part.select((F.col("p_partkey") * 2).alias("id"), F.lit(7).cast("bigint").alias("qty"), F.lit("new").alias("name"))
 
 
-_STOCK = "(SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS qty, p_brand AS name FROM part WHERE p_partkey <= 400)"
-_DELIVERY = "(SELECT p_partkey AS id, CAST(7 AS BIGINT) AS qty, 'new' AS name FROM part WHERE p_partkey BETWEEN 300 AND 500)"
+_STOCK = "(SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS qty, p_brand AS name FROM part)"
+_DELIVERY = "(SELECT p_partkey * 2 AS id, CAST(7 AS BIGINT) AS qty, 'new' AS name FROM part)"
 _MERGED = f"SELECT coalesce(s.id, d.id) AS id, {{q}} AS qty, {{n}} AS name FROM {_STOCK} s FULL JOIN {_DELIVERY} d ON s.id = d.id"
 
 NOW = 500_000
@@ -60,6 +60,11 @@ def counters(t):
     return t.supplier.select(F.col("s_name").alias("key"), F.col("s_nationkey").cast("string").alias("value"), F.lit(None).cast("long").alias("expires_at"))
 
 
+def _first_two(t):
+    """The two least keys of the counters with their values."""
+    return [(r.key, r.value) for r in counters(t).orderBy("key").limit(2).collect()]
+
+
 _COUNTERS = "(SELECT s_name AS key, CAST(s_nationkey AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS expires_at FROM supplier)"
 _PLAYERS = "(SELECT user_id AS key, CAST(floor(sum(value)) AS BIGINT) AS score, max(ts) AS ts FROM events GROUP BY user_id)"
 _BOARD = f"(SELECT *, CAST(row_number() OVER (ORDER BY score DESC, key) AS BIGINT) AS rank FROM {_PLAYERS} p)"
@@ -119,11 +124,11 @@ QUERIES = {
     # changes
     "dml_insert_nothing": pair(lambda t: D.insert(_stock(t), _delivery(t), ["id"], "nothing"), f"SELECT * FROM {_STOCK} s UNION ALL SELECT * FROM {_DELIVERY} d WHERE id NOT IN (SELECT id FROM {_STOCK} s)"),
     "dml_insert_update": pair(lambda t: D.insert(_stock(t), _delivery(t), ["id"], "update", {"qty": F.col("qty") + F.col("excluded_qty")}), _MERGED.format(q="CASE WHEN s.id IS NULL THEN d.qty WHEN d.id IS NULL THEN s.qty ELSE s.qty + d.qty END", n="coalesce(s.name, d.name)")),
-    "dml_insert": pair(lambda t: D.insert(_stock(t).where("id < 300"), _delivery(t), ["id"]), f"SELECT * FROM {_STOCK} s WHERE id < 300 UNION ALL SELECT * FROM {_DELIVERY} d"),
+    "dml_insert": pair(lambda t: D.insert(_stock(t), _delivery(t).withColumn("id", -F.col("id") - 1), ["id"]), f"SELECT * FROM {_STOCK} s UNION ALL SELECT -id - 1, qty, name FROM {_DELIVERY} d"),
     "dml_upsert": pair(lambda t: D.upsert(_stock(t), _delivery(t).select("id", "qty"), ["id"]), _MERGED.format(q="coalesce(d.qty, s.qty)", n="s.name")),
     "dml_update_swap": pair(lambda t: D.update(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), {"o_orderkey": F.col("o_custkey"), "o_custkey": F.col("o_orderkey"), "o_orderstatus": F.lower("o_orderstatus")}, F.col("o_orderkey") % 2 == 0), "SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus FROM orders"),
     "dml_delete": pair(lambda t: D.delete(t.events.select("event_id", "event_type"), F.nullif(F.col("event_type"), F.lit("view")) == "click"), "SELECT event_id, event_type FROM events WHERE NOT coalesce(nullif(event_type, 'view') = 'click', false)"),
-    "dml_insert_select": pair(lambda t: D.insert_select(_stock(t), t.supplier, {"id": F.col("s_suppkey") + 100000, "qty": F.lit(1), "name": F.col("s_name")}), f"SELECT * FROM {_STOCK} s UNION ALL SELECT s_suppkey + 100000, 1, s_name FROM supplier"),
+    "dml_insert_select": pair(lambda t: D.insert_select(_stock(t), t.supplier, {"id": -F.col("s_suppkey") - 1, "qty": F.lit(1), "name": F.col("s_name")}), f"SELECT * FROM {_STOCK} s UNION ALL SELECT -s_suppkey - 1, 1, s_name FROM supplier"),
     "dml_update_from": pair(lambda t: D.update_from(_stock(t), _delivery(t), ["id"], {"qty": F.col("excluded_qty") * 2}), f"SELECT s.id, CASE WHEN d.id IS NOT NULL THEN d.qty * 2 ELSE s.qty END AS qty, s.name FROM {_STOCK} s LEFT JOIN {_DELIVERY} d ON s.id = d.id"),
     "dml_merge": pair(
         lambda t: D.merge(_stock(t), _delivery(t), ["id"], {"qty": F.col("qty") + F.col("excluded_qty")}, {"qty": F.col("excluded_qty"), "name": F.col("excluded_name")}, {"name": F.lit("old")}),
@@ -144,10 +149,28 @@ QUERIES = {
     "kv_put_if_absent": pair(lambda t: K.put(counters(t), counters(t).withColumn("key", F.concat(F.col("key"), F.when(F.col("value").cast("int") < 10, "x").otherwise(""))).withColumn("value", F.lit("0")), True), f"SELECT * FROM {_COUNTERS} c UNION ALL SELECT key || 'x', '0', expires_at FROM {_COUNTERS} c WHERE CAST(value AS INT) < 10"),
     "kv_put": pair(lambda t: K.put(counters(t), counters(t).where("value = '3'").withColumn("value", F.lit("33"))), f"SELECT key, CASE WHEN value = '3' THEN '33' ELSE value END AS value, expires_at FROM {_COUNTERS} c"),
     "kv_delete_expire": pair(lambda t: K.compacted(K.expire(K.remove(kv(t), ["user:1", "user:2"]), ["user:3"], 1), NOW).agg(F.count(F.lit(1)).alias("n")), f"SELECT CAST(count(*) AS BIGINT) AS n FROM {_KV} k WHERE {_ALIVE} AND key NOT IN ('user:1', 'user:2', 'user:3')"),
-    "kv_increment": pair(lambda t: K.increment(counters(t).orderBy("key").limit(5), counters(t).agg(F.min("key")).first()[0], 5, 0).select("key", "value"), f"SELECT key, CASE WHEN r = 1 THEN CAST(CAST(value AS BIGINT) + 5 AS VARCHAR) ELSE value END AS value FROM (SELECT *, row_number() OVER (ORDER BY key) AS r FROM {_COUNTERS} c) WHERE r <= 5"),
-    "kv_cas": pair(lambda t: K.compare_and_set(counters(t), counters(t).agg(F.min("key")).first()[0], "wrong", "new", 0).select("key", "value"), f"SELECT key, value FROM {_COUNTERS} c"),
-    "kv_transfer": pair(lambda t: K.transfer(t.spark.createDataFrame([("a", "10.0", None), ("b", "1.5", None)], "key string, value string, expires_at bigint"), "a", "b", 4.0, 0).select("key", F.col("value").cast("double").alias("value")), "SELECT * FROM (VALUES ('a', CAST(6.0 AS DOUBLE)), ('b', CAST(5.5 AS DOUBLE))) v(key, value)"),
-    "kv_field_set": pair(lambda t: K.field_set(kv(t), "user:5", "seg", F.lit("Z"), ["n", "seg"], NOW).where("key = 'user:5'").select(F.get_json_object("value", "$.seg").alias("seg")), "SELECT 'Z' AS seg"),
+    "kv_increment": pair(lambda t: K.increment(counters(t), counters(t).agg(F.min("key")).first()[0], 5, 0).select("key", "value"), f"SELECT key, CASE WHEN r = 1 THEN CAST(CAST(value AS BIGINT) + 5 AS VARCHAR) ELSE value END AS value FROM (SELECT *, row_number() OVER (ORDER BY key) AS r FROM {_COUNTERS} c)"),
+    "kv_cas": pair(
+        lambda t: K.compare_and_set(K.compare_and_set(counters(t), *_first_two(t)[0], "new", 0), _first_two(t)[1][0], "wrong", "lost", 0).select("key", "value"),
+        f"SELECT key, CASE WHEN r = 1 THEN 'new' ELSE value END AS value FROM (SELECT *, row_number() OVER (ORDER BY key) AS r FROM {_COUNTERS} c)",
+    ),
+    "kv_get_set": pair(lambda t: K.get_and_set(counters(t), _first_two(t)[0][0], "new", 0)[0].select("key", "value"), f"SELECT key, CASE WHEN r = 1 THEN 'new' ELSE value END AS value FROM (SELECT *, row_number() OVER (ORDER BY key) AS r FROM {_COUNTERS} c)"),
+    "kv_get_set_old": pair(lambda t: K.get_and_set(counters(t), _first_two(t)[0][0], "new", 0)[1], f"SELECT value FROM {_COUNTERS} c ORDER BY key LIMIT 1"),
+    "kv_transfer": pair(
+        lambda t: K.transfer(counters(t).withColumn("value", F.lit("10")), _first_two(t)[0][0], _first_two(t)[1][0], 4.0, 0).select("key", F.col("value").cast("double").alias("value")),
+        f"SELECT key, CAST(CASE r WHEN 1 THEN 6 WHEN 2 THEN 14 ELSE 10 END AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (ORDER BY key) AS r FROM {_COUNTERS} c)",
+    ),
+    "kv_transfer_item": pair(
+        lambda t: K.transfer_item(kv(t), "user:5", "user:6", "seg", ["n", "seg"], NOW).select("key", F.get_json_object("value", "$.n").alias("n"), F.get_json_object("value", "$.seg").alias("seg")),
+        f"SELECT key, json_extract_string(value, '$.n') AS n, CASE WHEN key = 'user:5' THEN NULL WHEN key = 'user:6' THEN (SELECT json_extract_string(value, '$.seg') FROM {_KV} o WHERE key = 'user:5') ELSE json_extract_string(value, '$.seg') END AS seg FROM {_KV} k WHERE {_ALIVE}",
+    ),
+    "kv_field_set": pair(
+        lambda t: K.field_set(kv(t), "user:5", "seg", F.lit("Z"), ["n", "seg"], NOW).select("key", F.get_json_object("value", "$.seg").alias("seg")),
+        f"SELECT key, CASE WHEN key = 'user:5' THEN 'Z' ELSE json_extract_string(value, '$.seg') END AS seg FROM {_KV} k WHERE {_ALIVE}",
+    ),
+    "kv_secondary_index": pair(
+        lambda t: K.by_field(K.field_index(kv(t), "seg", NOW), kv(t), "BUILDING", NOW).select("key", "value"), f"SELECT key, value FROM {_KV} k WHERE {_ALIVE} AND json_extract_string(value, '$.seg') = 'BUILDING'"
+    ),
     # leaderboards
     "board_rank": pair(lambda t: _router(t).sql("SELECT RANK(board_i, '17')"), f"SELECT max(rank) AS rank FROM {_BOARD} b WHERE key = 17"),
     "board_rank_absent": pair(lambda t: K.rank_of(K.leaderboard(players(t)), -1), f"SELECT max(rank) AS rank FROM {_BOARD} b WHERE key = -1"),

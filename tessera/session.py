@@ -19,13 +19,20 @@ def session(app: str = "tessera", **conf: object) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that all executors share (spark.checkpoint.dir; a folder of our own if unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, `spark.checkpoint.dir`; unset, it is a folder of our own on a single machine, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

@@ -71,3 +71,30 @@ def next_values(df: DataFrame, order: list[Column], start: int, step: int = 1, o
     from pyspark.sql.window import Window
 
     return df.withColumn(out, F.lit(start) + (F.row_number().over(Window.orderBy(*order)) - 1) * step)
+
+
+class Sequence:
+    """A sequence on the driver: next values for rows, the current value, and setting it."""
+
+    def __init__(self, start: int = 1, step: int = 1):
+        if not step:
+            raise ValueError("a sequence needs a step")
+        self.step, self._next, self._current = step, start, None
+
+    def nextval(self, df: DataFrame, order: list[Column], out: str = "nextval") -> DataFrame:
+        """df with the next values in the given order; they are taken at once, so a plan that runs twice gives the same."""
+        first, n = self._next, df.count()
+        if n:
+            self._next, self._current = first + n * self.step, first + (n - 1) * self.step
+        return next_values(df, order, first, self.step, out)
+
+    def currval(self) -> int:
+        if self._current is None:
+            raise ValueError("no value has been taken yet")
+        return self._current
+
+    def setval(self, value: int, called: bool = True) -> int:
+        """The next value follows `value`, or is it if `called` is false."""
+        self._current = value if called else self._current
+        self._next = value + self.step if called else value
+        return value

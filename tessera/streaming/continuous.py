@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.timeseries import bucket_of, bucketed
+from tessera.operators.timeseries import merged_rollup as merge_rollups
 
 ROLLUP = ("count", "sum", "min", "max")
 
@@ -18,16 +19,33 @@ def rollup_stream(samples: DataFrame, width: int, by: Sequence[str] = ()) -> Dat
     return bucketed(samples, width, ROLLUP, by)
 
 
-def start_rollup(samples: DataFrame, width: int, name: str, by: Sequence[str] = (), checkpoint: str | None = None) -> StreamingQuery:
-    """Keep the rollup as an in-memory table `name` in complete mode, over all data that is there now."""
-    writer = rollup_stream(samples, width, by).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def start_rollup(samples: DataFrame, width: int, path: str, by: Sequence[str] = (), checkpoint: str | None = None) -> StreamingQuery:
+    """Write the rollup of every batch to the table at `path`, over all data that is there now.
 
+    There is no state: a batch's rollup is a partition of the table (written again if the batch runs again), and read_rollup() adds
+    batches up, so late samples reach old buckets.
+    """
 
-def run_rollup(spark: SparkSession, samples: DataFrame, width: int, name: str, by: Sequence[str] = ()) -> DataFrame:
-    query = start_rollup(samples, width, name, by)
-    query.awaitTermination()
-    return spark.table(name)
+    def keep(batch: DataFrame, number: int) -> None:
+        rollup_stream(batch, width, by).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = samples.writeStream.foreachBatch(keep).trigger(availableNow=True)
+    return writer.option("checkpointLocation", checkpoint or f"{path}-progress").start()
+
+
+def read_rollup(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rollup of all batches so far."""
+    return merge_rollups(spark.read.parquet(path).drop("batch"), by)
+
+
+def compact_rollup(spark: SparkSession, path: str, to: str, by: Sequence[str] = ()) -> None:
+    """Write what read_rollup() gives as the only batch of a new table."""
+    read_rollup(spark, path, by).write.mode("overwrite").parquet(f"{to}/batch=0")
+
+
+def run_rollup(spark: SparkSession, samples: DataFrame, width: int, path: str, by: Sequence[str] = ()) -> DataFrame:
+    start_rollup(samples, width, path, by).awaitTermination()
+    return read_rollup(spark, path, by)
 
 
 def retained_stream(samples: DataFrame, width: int, lateness: str, by: Sequence[str] = ()) -> DataFrame:
@@ -41,6 +59,17 @@ def shape(stream: DataFrame, where: str) -> DataFrame:
     return stream.where(where)
 
 
+def shape_changes(log: DataFrame, where: str, after: int) -> DataFrame:
+    """What a subscriber that has seen a change log (lsn, op, columns) up to `after` has to do: put rows of the filter, drop those that left it or were deleted."""
+    kept = F.coalesce(F.expr(where), F.lit(False)) & (F.col("op") != "delete")
+    return log.where(F.col("lsn") > after).withColumn("op", F.when(kept, "put").otherwise("drop"))
+
+
+def shape_watermark(log: DataFrame) -> DataFrame:
+    """One row: the place in the log up to which a subscriber is then."""
+    return log.agg(F.max("lsn").alias("watermark"))
+
+
 def deduplicated(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each key of a replayed log."""
     return stream.dropDuplicates(list(keys))

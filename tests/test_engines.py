@@ -35,8 +35,14 @@ def test_buckets_floor_below_zero(spark):
 def test_stream_rollup_takes_late_samples(spark, tmp_path):
     schema = "ts long, value double"
     spark.createDataFrame([(i * 1000, 50.0 + i) for i in range(120)] + [(5, 1.0)], schema).repartition(3).write.parquet(str(tmp_path / "s"))
-    got = continuous.run_rollup(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "s")), 60_000, "tessera_test_rollup")
+    samples, table = spark.readStream.schema(schema).parquet(str(tmp_path / "s")), str(tmp_path / "rollup")
+    got = continuous.run_rollup(spark, samples, 60_000, table)
     assert {r.bucket: r["count"] for r in got.collect()} == {0: 61, 60_000: 60}
+    spark.createDataFrame([(7, 2.0)], schema).write.mode("append").parquet(str(tmp_path / "s"))  # a late sample reaches its old bucket, once
+    again = continuous.run_rollup(spark, samples, 60_000, table)
+    assert {r.bucket: (r["count"], r["min"]) for r in again.collect()} == {0: (62, 1.0), 60_000: (60, 110.0)}
+    continuous.compact_rollup(spark, table, str(tmp_path / "compact"))
+    assert rows(continuous.read_rollup(spark, str(tmp_path / "compact"))) == rows(again)
 
 
 def test_triangle(spark):
@@ -61,11 +67,11 @@ def test_search(spark):
 
 
 def test_spatial(spark):
-    places = spark.createDataFrame([("london", -0.1276, 51.5074), ("new_york", -74.006, 40.7128), ("tokyo", 139.6917, 35.6895), ("nairobi", 36.8219, -1.2921)], "id string, lon double, lat double")
-    assert [r.id for r in spatial.boxed(places, (-10, 35, 30, 60)).collect()] == ["london"]
-    assert [r.id for r in spatial.contained(places, [(-6, 49), (2, 49), (2, 56), (-6, 56)]).collect()] == ["london"]
-    assert [r.id for r in spatial.nearest(places, (0, 50), 2).collect()] == ["london", "new_york"]
-    assert spatial.within_distance(places, (0, 51), 100_000).count() == 1
+    places = spark.createDataFrame([("ayr", -4.63, 55.46), ("lima", -77.03, -12.05), ("perth", 115.86, -31.95), ("oslo", 10.75, 59.91)], "id string, lon double, lat double")
+    assert [r.id for r in spatial.boxed(places, (-10, 35, 5, 60)).collect()] == ["ayr"]
+    assert [r.id for r in spatial.contained(places, [(-8, 50), (1, 50), (1, 57), (-8, 57)]).collect()] == ["ayr"]
+    assert [r.id for r in spatial.nearest(places, (0, 54), 2).collect()] == ["ayr", "oslo"]
+    assert spatial.within_distance(places, (-4, 55), 100_000).count() == 1
 
 
 def test_array_versions(spark):
@@ -78,10 +84,10 @@ def test_array_versions(spark):
 
 def test_leaderboard_and_statements(spark):
     catalog = Catalog(spark)
-    catalog.register("players_test", spark.createDataFrame([("a", 10), ("b", 30), ("c", 20), ("d", -5), ("unscored", None)], "key string, points long"), "kv", "key")
+    catalog.register("players_test", spark.createDataFrame([("a", 10), ("b", 30), ("c", 20), ("d", -5), ("no score", None)], "key string, points long"), "kv", "key")
     r = Router(catalog)
     r.sql("CREATE SORTED INDEX i ON players_test (points DESC) KEY key")
-    assert r.sql("SELECT RANK(i, 'c')").first()[0] == 2 and r.sql("SELECT RANK(i, 'unscored')").first()[0] is None
+    assert r.sql("SELECT RANK(i, 'c')").first()[0] == 2 and r.sql("SELECT RANK(i, 'no score')").first()[0] is None
     assert rows(r.sql("SELECT TOPK(i, 2)")) == [(1, "b"), (2, "c")]
     assert r.sql("SELECT RANGE(i, 0, NULL)").count() == 3 and r.sql("SELECT SORTED_COUNT(i)").first()[0] == 4
     with pytest.raises(ValueError, match="RETURNING"):

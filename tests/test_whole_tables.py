@@ -1,4 +1,4 @@
-"""Queries without SQL read their whole tables."""
+"""Graph queries read their whole tables."""
 
 import pytest
 
