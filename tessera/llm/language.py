@@ -2,7 +2,8 @@
 
 The model is learned from at most SAMPLE different labelled texts of each language, those of the least hashes (a documented bound; copies
 of a text count once). Of these, words and the character n-grams (four letters down to one) of their words are counted by
-language, and all of them are kept: there is no cap on words or n-grams. A known word scores its log frequency in each
+language, and all of them are kept: there is no cap on words or n-grams. What a text repeats counts as often as its number has binary digits,
+so that no text of one word over and over outweighs a language. A known word scores its log frequency in each
 language. An unseen word is looked at as n-grams: the longest length of which any n-gram is known decides, by the mean of
 their log frequencies. A document's score in a language is the sum over its words, repeats included.
 
@@ -70,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = batch.column(0).to_pylist(), batch.column(1)
         for lang, text in zip(langs, texts, strict=True):
             tokens = (text.as_py() or "").split()
-            own.setdefault(lang, Counter()).update(tokens)
+            own.setdefault(lang, Counter()).update({t: n.bit_length() for t, n in Counter(tokens).items()})
             held += sum(n for n in map(len, tokens) if n > LONG)
             if sum(map(len, own.values())) > FLUSH or held > FLUSH_LONG:
                 yield from flush()
