@@ -130,7 +130,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         )
     )
     held = ["id", "text", "sketch"]
-    sent = sketched.select(*held, F.explode(homes).alias("home")).select(*held, "home.at", "home.role").repartition(2 * len(bounds) + 1, "at")  # a width that grows with the texts
+    sent = sketched.select(*held, F.explode(homes).alias("home")).select(*held, "home.at", "home.role").repartitionById(len(bounds) + 1, F.col("at"))  # a task for each bucket
     order = Window.partitionBy("at").orderBy((F.col("role") == 2).asc(), F.col("id").desc(), F.xxhash64("text"))
     after = sent.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where("role = 0")
     return after.select(*held, F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))

@@ -219,3 +219,37 @@ def test_language_of_text_without_spaces(spark):
     rows = [(i, "a" * 60 + "".join(rng.choice("efg" if i % 2 else "bcd") for _ in range(100)), "y" if i % 2 else "x") for i in range(80)]
     got = language.op4_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert all(r.lang_pred == ("y" if r.doc_id % 2 else "x") for r in got)
+
+
+def test_language_of_held_out_texts_of_unseen_and_mixed_words(spark):
+    rng = random.Random(11)
+    parts = {"x": ["ka", "lo", "mi", "tu", "ne"], "y": ["ka", "lor", "sch", "tun", "ei"], "z": ["ca", "lo", "mi", "oux", "ne"]}  # syllables overlap
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randint(2, 5)))
+    rows = []
+    for i in range(400):
+        lang = "xyz"[i % 3]
+        own = [word(lang) for _ in range(rng.randint(5, 40))]
+        rows.append((i, " ".join(own if i % 4 else [*own, *(word(rng.choice("xyz")) for _ in range(len(own) // 3))]), lang, "clash"))
+    rows += [(9000, None, "x", ""), (9001, "", "y", ""), (9002, "kalo " * 50000, "x", ""), (None, "sch", "y", ""), (None, "sch", "y", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h string")
+    got = {r.doc_id: r for r in language.op4_language(docs).collect() if r.doc_id is not None and r.doc_id < 400}
+    held = [i for i in got if got[i].held_out]
+    assert len(held) > 60 and sum(got[i].lang_pred == rows[i][2] for i in held) >= 0.95 * len(held)
+    assert language.op4_language(docs).count() == len(rows)
+
+
+def test_a_language_is_learned_from_a_bounded_number_of_texts(spark):
+    rows = [("en", f"word{i % 500} the text") for i in range(2000)] + [("de", f"das wort{i}") for i in range(3)]
+    got = language.sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 100).groupBy("lang").count().collect()
+    assert dict(got) == {"en": 100, "de": 3}
+    model = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert {"the", "das", "text"} <= model["known"][0].keys() and model["langs"] == ["de", "en"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
