@@ -39,7 +39,7 @@ _BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerat
 class Cached:
     """A tokenizer with a table of the ids of up to `most` pieces; a full table is emptied between calls."""
 
-    def __init__(self, path: str, kind: str, most: int = 600_000):
+    def __init__(self, path: str, kind: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -165,7 +165,7 @@ class Cached:
         return ids, np.diff(ends, prepend=0)
 
 
-def in_ranges(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def in_ranges(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a string array with about `most` bytes together; a longer text is a range of its own or ends one."""
     if not len(texts):
         return

@@ -34,7 +34,7 @@ from tessera.llm.tokenizing import in_parts
 BUCKETS, DIM = 1 << 17, 16
 GRAMS = (3, 4)
 SAMPLE = 6_000  # labelled documents that are learned from at most: those of the least hashes of their ids
-CACHE = 200_000
+CACHE = 100_000
 SAME = "\x00"  # stands for a word that repeats the one before
 _PRIME = np.uint64(0x100000001B3)
 _MARKS = re.compile(r"[\W_]{0,3}$")
