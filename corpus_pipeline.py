@@ -9,6 +9,8 @@ without rows go through all stages and give no rows. Only doc_id and text are re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from tessera.llm.queries import _tokenizer
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
+BATCH = 4 << 20  # bytes that go to a Python worker at once: an executor holds those of all its workers, on both sides
 LEAST_ITEMS = 1  # benchmark items that a document must match to be dropped
 
 ORACLE_SQL = None  # learned scores and tokenizers are beyond SQL; tests compare each stage with brute force
@@ -63,7 +66,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.op3_packing(docs, _tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("decontaminate", decontaminate), ("pack", pack)]
+def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return of
+
+
+STAGES = [(stage.__name__, _bounded(stage)) for stage in (quality, near_duplicates, repeats, decontaminate, pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

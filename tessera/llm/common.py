@@ -6,15 +6,19 @@ input never clash with its own.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 NO_ID = -(1 << 63)  # stands for a null id where a key must not be null
+HELD: list[dict] = []  # tables that a Python worker keeps between tasks of one kind
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +61,28 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def give_back() -> None:
+    """Empty what this Python worker holds and return its memory to the system: workers outlive their tasks and count in an executor's memory."""
+    for table in HELD:
+        table.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work on batches, after which the worker gives memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most parts - 1 ascending values of the non-null long column `key` that split its rows about evenly.
 

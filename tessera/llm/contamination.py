@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, written
+from tessera.llm.common import ship, tidy, written
 
 WINDOW = 8
 BLOCK_BYTES = 6 << 20  # text of a block of the index
@@ -113,7 +113,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     documents, their ids and numbers of words in order.
     """
     ship(docs.sparkSession)
-    return written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_blocks, INDEX), "index")
+    return written(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(_blocks), INDEX), "index")
 
 
 def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, ship, written
+from tessera.llm.common import forget, give_back, ship, written
 from tessera.llm.components import components
 from tessera.llm.simhash import SEED, shingles
 
@@ -70,6 +70,7 @@ def sketch(text: Column, words: int) -> Column:
         for lo in range(0, max(1, len(texts)), SLICE):
             sets = [hashes(t.as_py(), words) for t in texts.slice(lo, SLICE)]
             parts.append(pa.StructArray.from_arrays([pa.array(map(node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(keys, sets), pa.list_(pa.int64()))], ["node", "size", "keys"]))
+        give_back()
         return pa.concat_arrays(parts)
 
     return of(text)
@@ -84,17 +85,16 @@ def shingle_sets(text: Column, words: int) -> Column:
         for lo in range(0, max(1, len(texts)), SLICE):
             sets = [hashes(t.as_py(), words) for t in texts.slice(lo, SLICE)]
             parts.append(pa.StructArray.from_arrays([pa.array(map(node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"]))
+        give_back()
         return pa.concat_arrays(parts)
 
     return of(text)
 
 
 def _marked(slot: Column, marks: np.ndarray) -> Column:
-    @F.arrow_udf("boolean")
-    def of(slots: pa.Array) -> pa.Array:
-        return pa.array(marks[slots.to_numpy()])
-
-    return of(slot)
+    """True for marked slots; no Python worker's work, so that a task needs one for the shingles alone."""
+    octet = F.substring(F.lit(np.packbits(marks, bitorder="little").tobytes()), F.shiftright(slot, 3) + 1, F.lit(1))
+    return F.getbit(F.conv(F.hex(octet), 16, 10).cast("int"), slot.bitwiseAND(F.lit(7))) == 1
 
 
 def _verified(pairs: DataFrame, source: DataFrame, kinds: DataFrame, words: int, similarity: float) -> DataFrame:

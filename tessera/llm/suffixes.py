@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NO_ID, ship, written
+from tessera.llm.common import NO_ID, give_back, ship, tidy, written
 
 LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM  # how far before an anchor a string that it stands for may start
@@ -398,7 +398,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, begin, end): stretches of bytes to remove, overlapping and in no order; th is the crc32 of the text."""
     ship(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    found = written(keyed.mapInArrow(_anchor_rows, ROWS).repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_classified, ROWS), "repeats")
+    found = written(keyed.mapInArrow(tidy(_anchor_rows), ROWS).repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(tidy(_classified), ROWS), "repeats")
     spans = found.where(F.col("kind") == SPAN).select("id", "th", F.col("pos").alias("begin"), F.col("right").alias("end"))
     ones = found.where(F.col("kind") == ONE).select("gram", "id", "th", "pos")
     # texts without such a context needn't move: a semi-join with at most SLOTS hashes lets few of them through
@@ -417,7 +417,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _sorted(contexts: DataFrame) -> DataFrame:
-    return contexts.select(*[c.split()[0] for c in CONTEXTS.split(", ")]).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, SPANS)
+    return contexts.select(*[c.split()[0] for c in CONTEXTS.split(", ")]).repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(_sorted_spans), SPANS)
 
 
 def _refined(contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -441,7 +441,7 @@ def _refined(contexts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def _contexts(keyed: DataFrame, ones: DataFrame) -> DataFrame:
     """The bytes of contexts, from the texts."""
     wanted = ones.groupBy("id", "th").agg(F.collect_list(F.struct("gram", "pos")).alias("wanted"))
-    return keyed.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "data", "wanted").mapInArrow(_context_rows, CONTEXTS)
+    return keyed.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "data", "wanted").mapInArrow(tidy(_context_rows), CONTEXTS)
 
 
 def _counted_spans(contexts: DataFrame) -> DataFrame:
@@ -506,7 +506,10 @@ def kept_text(data: Column, spans: Column) -> Column:
             data = t.as_py()
             runs = merge([(x["begin"], x["end"]) for x in s.as_py() or []])
             out.append(kept(data, runs).decode("utf-8", "ignore") if runs else data.decode("utf-8", "ignore"))
-        return pa.array(out, pa.string())
+        left_ = pa.array(out, pa.string())
+        del out
+        give_back()
+        return left_
 
     return left(data, spans)
 

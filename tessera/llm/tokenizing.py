@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.common import HELD
+
 WORD, BYTE = "word", "byte"  # word: white space is dropped; byte: it is part of the pieces
 _SPACE = "\t\n\r\x0b\x0c \x85\xa0  -     　"
 _PIECES = re.compile(f"[ \n]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+")
@@ -30,6 +32,7 @@ _UPPER = "A-Z\xc0-\xd6\xd8-\xdeЀ-Я"
 _MARKS = "[!-/:-@\\[-`{-~]"
 _SIMPLE = {WORD: re.compile(f"()([{_LOWER}{_UPPER}]+)({_MARKS}*)"), BYTE: re.compile(f"(\n?)( ?[{_LOWER}{_UPPER}]+)({_MARKS}*)")}
 _OWN: dict[tuple[str, str], "Cached"] = {}
+HELD.append(_OWN)  # other operators' tasks drop it
 
 # the alphabet of byte-level vocabularies: printable bytes stand for themselves, others for characters from U+0100
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]

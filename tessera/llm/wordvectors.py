@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship
+from tessera.llm.common import give_back, ship
 from tessera.llm.tokenizing import in_parts
 
 BUCKETS, DIM = 1 << 17, 16
@@ -97,7 +97,7 @@ class Model:
             self.known = {}
         known = self.known
         missing = set().union(*split, [SAME]).difference(known)
-        for part in _even(list(missing), 50_000):
+        for part in _even(list(missing), 10_000):
             known.update(zip(part, self.values(part).tolist(), strict=True))
         same, get = known[SAME], known.__getitem__
         out = []
@@ -203,7 +203,10 @@ def scored(text: Column, model: Model, spark) -> Column:
         if "model" not in own:
             own["model"] = Model(*held.value)
         whole = [t or "" for t in texts.to_pylist()]
-        return pa.array([x for lo, hi in in_parts(whole) for x in own["model"].score(whole[lo:hi])], pa.float64())
+        out = pa.array([x for lo, hi in in_parts(whole) for x in own["model"].score(whole[lo:hi])], pa.float64())
+        del whole
+        give_back()
+        return out
 
     ship(spark)
     return score(text)
