@@ -153,7 +153,7 @@ RULES = (
     *((one, (f"spdx-{one.lower()}",)) for one in SPDX),
     *((f"{one} {word.upper()} {two}", (f"spdx-{one.lower()}-{word}-{two.lower()}",)) for one in _DUAL for two in _DUAL for word in ("or", "and") if one != two),
 )
-CUES = r"(?i)licen|permi(?:ssion|tted)|redistribution|warrant|gpl|mpl|notice"
+CUES = r"(?i)licen|permi(?:ssion|tted)|redistribution|warrant|gpl|mpl|notice|liable|compiled"  # each known sentence has one, whole in a word
 _END, _PIECE = "\u0001", "\u0002"  # between sentences, and between pieces of one
 
 

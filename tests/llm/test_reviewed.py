@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import common, neargroups, tokenizing
+from tessera.llm import common, licenses, neargroups, tokenizing
 
 
 def test_near_groups_need_one_python_worker_for_a_task(spark):
@@ -19,3 +19,10 @@ def test_workers_give_back_what_they_hold(monkeypatch):
     table = {"piece": 1}
     monkeypatch.setattr(common, "HELD", [table])
     assert list(common.tidy(iter)([1, 2])) == [1, 2] and not table
+
+
+def test_every_known_licence_sentence_is_found_alone(spark):
+    sentences = list(licenses.SENTENCES.items())
+    got = licenses.op6_license_scan(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sentences)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_known, r.identifiers) for r in got} == {i: (1, name) for i, (_, name) in enumerate(sentences)}
+    assert {r.licenses for r in got if r.identifiers == "unlicense-grant"} == {"Unlicense"}
