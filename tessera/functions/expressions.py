@@ -45,6 +45,13 @@ def exact_sum(x: Column) -> Column:
     return F.sum(x.cast("decimal(38,0)"))
 
 
+def exact_avg(x: Column) -> Column:
+    """An average that doesn't depend on the order of rows, where all values have at most 10 decimals (and 18 digits before them); else the average of doubles."""
+    d = x.try_cast("decimal(28,10)")
+    exact = F.bool_and(F.coalesce(d.cast("double") == x, x.isNull()))
+    return F.when(exact, F.sum(d).cast("double") / F.count(x)).otherwise(F.avg(x))
+
+
 def negated(condition: Column) -> Column:
     """NOT as `condition = false`: null stays null."""
     return condition == F.lit(False)

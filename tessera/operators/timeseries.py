@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.expressions import exact_avg
+
 UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
 MAX_BUCKETS = 10_000_000  # of a gap-filled series
 
@@ -43,7 +45,7 @@ def series_scan(df: DataFrame, start: int | None = None, end: int | None = None,
 
 
 AGGREGATES = {
-    "count": lambda v, t: F.count(v), "sum": lambda v, t: F.sum(v), "min": lambda v, t: F.min(v), "max": lambda v, t: F.max(v), "avg": lambda v, t: F.avg(v), "mean": lambda v, t: F.avg(v),
+    "count": lambda v, t: F.count(v), "sum": lambda v, t: F.sum(v), "min": lambda v, t: F.min(v), "max": lambda v, t: F.max(v), "avg": lambda v, t: exact_avg(v), "mean": lambda v, t: exact_avg(v),
     "first": lambda v, t: F.min_by(v, t), "last": lambda v, t: F.max_by(v, t), "count_distinct": lambda v, t: F.approx_count_distinct(v), "percentile": lambda v, t: F.percentile_approx(v, 0.5),
     "topk": lambda v, t: F.least(F.count_distinct(v), F.lit(10)), "stddev": lambda v, t: F.when(F.count(v) >= 2, F.stddev_pop(v)),
 }
