@@ -36,6 +36,8 @@ LEAST_COUNT = 6  # of a pair that becomes a rule: a rule costs eight bytes and s
 A_ROUND = 4096  # rules of one round at most: the most frequent pairs
 _SLOTS = 16  # bits of a slot
 SHARD_BYTES = 8 << 20  # of text
+RANGE_BYTES = 8 << 20  # of text that is encoded at once: a piece is looked up once for each
+PIECES = 600_000  # in a worker's table
 HEAD = struct.Struct("<4sIIIQ")
 
 
@@ -192,7 +194,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     bounds = range_bounds(own, "id", parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Cached.of(tokenizer, BYTE)
+        tool = Cached.of(tokenizer, BYTE, PIECES)
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
@@ -201,7 +203,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
             if batch.num_rows:
                 shard = batch.column(0)[0].as_py()
             ids.append(batch.column(1).to_numpy())
-            for lo, hi in in_ranges(batch.column(2)):
+            for lo, hi in in_ranges(batch.column(2), RANGE_BYTES):
                 own, each = tool.encode(batch.column(2).slice(lo, hi - lo))
                 if len(own) and int(own.max()) >= BASE:
                     raise ValueError(f"a token id of {int(own.max())}: files hold ids below {BASE}")

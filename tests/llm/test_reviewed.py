@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -64,3 +65,24 @@ def test_the_radius_of_codes_loses_no_link(spark, monkeypatch):
     assert len(groups) == 124 and groups[5000] == 0 and groups[5002] == 5001 and groups[5003] == 5003
     monkeypatch.setattr(neargroups, "radius", lambda similarity: 0)
     assert dict(neargroups.near_groups(docs, "id", "text").collect()) == groups
+
+
+def test_white_space_at_a_texts_end_is_one_piece():
+    own = tokenizing.Cached(public_tokenizers.path("byte_bpe_50k.json"), tokenizing.BYTE)
+    texts = ["a\n\n", "\n\n", "a  ", "a \n", "a\n\nb", "don't. Ünß,\n\"Oh\"\n\n", "", "a….b", "a<|b\n\n", "ä\n\n\nö"]
+    ids, sizes = own.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.encode(["a\n\n"])[0].tolist() == [64, 628]
+
+
+def test_a_full_table_keeps_the_words_that_come_again(monkeypatch):
+    own, asked = tokenizing.Cached(public_tokenizers.path("byte_bpe_50k.json"), tokenizing.BYTE, most=300), []
+    encode = own._words
+    monkeypatch.setattr(own, "_words", lambda words: asked.append(set(words)) or encode(words))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    common = [f" common{i}".translate(letters) for i in range(100)]
+    for k in range(12):
+        text = "".join(c + mark for c, mark in zip(common, ".,;!" * 25, strict=True)) + "".join(f" rare{k}x{i}".translate(letters) for i in range(100))
+        ids, _ = own.encode([text])
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(own.place) <= 600 and sum(len(a & set(common)) for a in asked) == 100
