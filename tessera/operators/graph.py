@@ -10,12 +10,15 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import breadth
 from tessera.session import cut
 
-MAX_ADJACENCY = 5_000_000  # edges that may be broadcast for betweenness
+MAX_ADJACENCY = 5_000_000  # edges that may be broadcast
 
 
 def directed(edges: DataFrame, direction: str = "out", labels: Sequence[str] | None = None) -> DataFrame:
@@ -219,10 +222,38 @@ def distances(edges: DataFrame, sample: int | None = None) -> DataFrame:
     return levels(directed(edges), origins.select(F.col("node").alias("origin"), "node"))
 
 
+def profiles(edges: DataFrame, sample: int | None = None) -> DataFrame:
+    """(node, reached, total, inverse, farthest) of every node, or the `sample` least: how many others it reaches, the sum of their distances and of the inverse distances, the greatest distance.
+
+    The adjacency is broadcast and origins are searched from in batches; beyond MAX_ADJACENCY edges, searches are joins that keep every pair.
+    """
+    arcs = edges.select("src", "dst").distinct()
+    if arcs.limit(MAX_ADJACENCY + 1).count() > MAX_ADJACENCY:
+        d, far = distances(edges, sample), F.col("depth")
+        return d.groupBy(F.col("origin").alias("node")).agg((F.count(F.lit(1)) - 1).alias("reached"), F.sum("depth").alias("total"), F.sum(F.when(far > 0, 1.0 / F.nullif(far, F.lit(0))).otherwise(0.0)).alias("inverse"), F.max("depth").cast("long").alias("farthest"))
+    spark = edges.sparkSession
+    every = nodes(edges).orderBy("node").toArrow()["node"].combine_chunks()
+    pairs = arcs.where("src IS NOT NULL").toArrow()
+    src, dst = (pc.index_in(pairs[c].cast(every.type), value_set=every).to_numpy() for c in ("src", "dst"))
+    held = spark.sparkContext.broadcast((every, breadth.adjacency(len(every), src, dst)))
+    many = len(every) if sample is None else min(sample, len(every))
+    size = breadth.batch_size(len(every), spark.sparkContext.defaultParallelism)
+
+    def search(batches):
+        every, graph = held.value
+        for batch in batches:
+            for lo in batch.column(0).to_pylist():
+                hi = min(lo + size, many)
+                found = breadth.profile(graph, lo, hi)
+                yield pa.RecordBatch.from_arrays([every.slice(lo, hi - lo), *map(pa.array, found)], names=["node", "reached", "total", "inverse", "farthest"])
+
+    kind = nodes(edges).schema["node"].dataType.simpleString()
+    return spark.range(0, many, size, max(1, -(-many // size))).mapInArrow(search, f"node {kind}, reached long, total long, inverse double, farthest long")
+
+
 def closeness(edges: DataFrame, sample: int | None = None) -> DataFrame:
     """(node, closeness): nodes reached over the sum of their distances."""
-    d = distances(edges, sample).groupBy(F.col("origin").alias("node")).agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("depth").alias("s"))
-    return d.select("node", F.when(F.col("s") > 0, F.col("r") / F.col("s")).otherwise(0.0).alias("closeness"))
+    return profiles(edges, sample).select("node", F.when(F.col("total") > 0, F.col("reached") / F.nullif(F.col("total"), F.lit(0))).otherwise(0.0).alias("closeness"))
 
 
 def harmonic(edges: DataFrame, sample: int | None = None) -> DataFrame:

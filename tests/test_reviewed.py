@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import timeseries
+from tessera.operators import breadth, graph, timeseries
 
 
 def test_average_of_a_bucket_does_not_depend_on_the_order_of_rows(spark):
@@ -17,3 +18,47 @@ def test_average_of_a_bucket_does_not_depend_on_the_order_of_rows(spark):
     got = {r.series_id: r for r in timeseries.bucketed(df, 1000, ["avg", "mean"], ["series_id"]).withColumn("rounded", F.round("avg", 4)).collect()}
     assert {(got[s].avg, got[s].mean, got[s].rounded) for s in range(60)} == {(46.23125, 46.23125, 46.2313)}
     assert got[60].avg is None and got[61].avg != got[61].avg and got[62].avg == 2e300 and got[63].avg == 0.1 + 0.2
+
+
+def _searched(pairs, n):
+    """Distances from each node by plain search."""
+    out = {}
+    for o in range(n):
+        far, queue = {o: 0}, [o]
+        for v in queue:
+            for a, b in pairs:
+                if a == v and b not in far:
+                    far[b] = far[v] + 1
+                    queue.append(b)
+        out[o] = far
+    return out
+
+
+@pytest.fixture
+def long_graph(spark, monkeypatch):
+    """A chain of 90 nodes with some shortcuts and a loop; a search may not take a round of Spark for each step."""
+    pairs = [(i, i + 1) for i in range(89)] + [(i, (i * i + 2) % 90) for i in range(40, 90, 9)] + [(89, 89)]
+    monkeypatch.setattr(graph, "cut", lambda df: pytest.fail("a round of its own for each step"))
+    return spark.createDataFrame([(a, "x", b) for a, b in [*pairs, *pairs[:5]]], "src long, label string, dst long"), _searched(pairs, 90)
+
+
+def test_closeness_of_a_long_graph(long_graph):
+    edges, far = long_graph
+    assert dict(graph.closeness(edges).collect()) == {o: (len(d) - 1) / max(1, sum(d.values())) for o, d in far.items()}
+    assert [r.node for r in graph.closeness(edges, sample=3).orderBy("node").collect()] == [0, 1, 2]
+
+
+def test_closeness_in_batches_by_joins_and_of_odd_graphs(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(260)]
+    edges = spark.createDataFrame([(f"n{a}", "x", f"n{b}") for a, b in pairs], "src string, label string, dst string")
+    monkeypatch.setattr(breadth, "MOST", 64)
+    wide = {r.node: r for r in graph.profiles(edges).collect()}
+    monkeypatch.setattr(graph, "MAX_ADJACENCY", 0)
+    joined = {r.node: r for r in graph.profiles(edges).collect()}
+    assert wide.keys() == joined.keys() and all((a.reached, a.total, a.farthest) == (joined[k].reached, joined[k].total, joined[k].farthest) and abs(a.inverse - joined[k].inverse) < 1e-9 for k, a in wide.items())
+    monkeypatch.undo()
+    none = edges.where("false")
+    assert graph.closeness(none).collect() == []
+    odd = spark.createDataFrame([(1, "x", 2), (2, "x", 3), (1, "x", None), (3, "x", None), (None, "x", 1)], "src long, label string, dst long")
+    assert dict(graph.closeness(odd).collect()) == {1: 3 / 4, 2: 2 / 3, 3: 1.0, None: 0.0}  # a null is a node that is reached once and leads nowhere
