@@ -265,7 +265,7 @@ def harmonic(edges: DataFrame, sample: int | None = None) -> DataFrame:
 
 def diameter(edges: DataFrame) -> DataFrame:
     """One row: the greatest and the least positive eccentricity (diameter, radius)."""
-    ecc = distances(edges).groupBy("origin").agg(F.max("depth").alias("e")).where("e > 0")
+    ecc = profiles(edges).select(F.col("farthest").alias("e")).where("e > 0")
     return ecc.agg(F.coalesce(F.max("e"), F.lit(0)).cast("long").alias("diameter"), F.coalesce(F.min("e"), F.lit(0)).cast("long").alias("radius"))
 
 

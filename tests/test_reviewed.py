@@ -62,3 +62,9 @@ def test_closeness_in_batches_by_joins_and_of_odd_graphs(spark, monkeypatch):
     assert graph.closeness(none).collect() == []
     odd = spark.createDataFrame([(1, "x", 2), (2, "x", 3), (1, "x", None), (3, "x", None), (None, "x", 1)], "src long, label string, dst long")
     assert dict(graph.closeness(odd).collect()) == {1: 3 / 4, 2: 2 / 3, 3: 1.0, None: 0.0}  # a null is a node that is reached once and leads nowhere
+
+
+def test_diameter_of_a_long_graph(long_graph):
+    edges, far = long_graph
+    most = [max(d.values()) for d in far.values()]
+    assert graph.diameter(edges).first() == (max(most), min(m for m in most if m))
