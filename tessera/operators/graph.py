@@ -259,8 +259,7 @@ def closeness(edges: DataFrame, sample: int | None = None) -> DataFrame:
 def harmonic(edges: DataFrame, sample: int | None = None) -> DataFrame:
     """(node, harmonic): the sum of inverse distances over n - 1."""
     n = nodes(edges).count()
-    d = distances(edges, sample).groupBy(F.col("origin").alias("node")).agg(F.sum(F.when(F.col("depth") > 0, 1.0 / F.nullif(F.col("depth"), F.lit(0))).otherwise(0.0)).alias("h"))
-    return d.select("node", (F.col("h") / max(n - 1, 1)).alias("harmonic"))
+    return profiles(edges, sample).select("node", (F.col("inverse") / max(n - 1, 1)).alias("harmonic"))
 
 
 def diameter(edges: DataFrame) -> DataFrame:

@@ -68,3 +68,8 @@ def test_diameter_of_a_long_graph(long_graph):
     edges, far = long_graph
     most = [max(d.values()) for d in far.values()]
     assert graph.diameter(edges).first() == (max(most), min(m for m in most if m))
+
+
+def test_harmonic_centrality_of_a_long_graph(long_graph):
+    edges, far = long_graph
+    assert dict(graph.harmonic(edges).collect()) == pytest.approx({o: sum(1 / x for x in d.values() if x) / 89 for o, d in far.items()}, abs=1e-12)
