@@ -45,11 +45,16 @@ def exact_sum(x: Column) -> Column:
     return F.sum(x.cast("decimal(38,0)"))
 
 
-def exact_avg(x: Column) -> Column:
-    """An average that doesn't depend on the order of rows, where all values have at most 10 decimals (and 18 digits before them); else the average of doubles."""
+def exact_total(x: Column) -> Column:
+    """A sum of doubles that doesn't depend on the order of rows, where all values have at most 10 decimals (and 18 digits before them); else the sum of doubles."""
     d = x.try_cast("decimal(28,10)")
     exact = F.bool_and(F.coalesce(d.cast("double") == x, x.isNull()))
-    return F.when(exact, F.sum(d).cast("double") / F.count(x)).otherwise(F.avg(x))
+    return F.when(exact, F.sum(d).cast("double")).otherwise(F.sum(x.cast("double")))
+
+
+def exact_avg(x: Column) -> Column:
+    """An average that doesn't depend on the order of rows, as far as exact_total() doesn't."""
+    return exact_total(x) / F.nullif(F.count(x), F.lit(0))
 
 
 def negated(condition: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import Catalog
+from tessera.functions.expressions import exact_total
 from tessera.operators import dml as D
 from tessera.operators import kv as K
 from tessera.operators import ndarray as N
@@ -71,7 +72,7 @@ _BOARD = f"(SELECT *, CAST(row_number() OVER (ORDER BY score DESC, key) AS BIGIN
 
 
 def players(t):
-    return t.events.groupBy(F.col("user_id").alias("key")).agg(F.floor(F.sum("value")).cast("bigint").alias("score"), F.max("ts").alias("ts"))
+    return t.events.groupBy(F.col("user_id").alias("key")).agg(F.floor(exact_total(F.col("value"))).cast("bigint").alias("score"), F.max("ts").alias("ts"))
 
 
 _HIST = "(SELECT o_custkey AS id, o_orderkey AS system_from, o_orderkey - 5 AS valid_from, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 2000 END AS valid_until, CASE WHEN o_orderkey % 11 = 0 THEN 'tombstone' ELSE 'live' END AS tag, o_orderstatus AS body FROM orders)"

@@ -1,11 +1,13 @@
 """What a review found in the queries beside the corpus operators."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import breadth, graph, timeseries
+from tessera.plans import state_queries
 
 
 def test_average_of_a_bucket_does_not_depend_on_the_order_of_rows(spark):
@@ -73,3 +75,15 @@ def test_diameter_of_a_long_graph(long_graph):
 def test_harmonic_centrality_of_a_long_graph(long_graph):
     edges, far = long_graph
     assert dict(graph.harmonic(edges).collect()) == pytest.approx({o: sum(1 / x for x in d.values() if x) / 89 for o, d in far.items()}, abs=1e-12)
+
+
+def test_score_of_a_player_does_not_depend_on_the_order_of_events(spark):
+    values = [0.1] * 10 + [83.11, 16.89, 67.04, 32.96]  # 201 exactly; in some orders the doubles add up to less
+    rng, events = random.Random(2), []
+    for user in range(40):
+        rng.shuffle(values)
+        events += [(user, v) for v in values]
+    events += [(40, None), (41, 2.5), (41, None)]
+    df = spark.createDataFrame(events, "user_id long, value double").withColumn("ts", F.lit("2024-01-30").cast("timestamp_ntz")).coalesce(1)
+    got = {r.key: r.score for r in state_queries.players(SimpleNamespace(events=df)).collect()}
+    assert got == dict.fromkeys(range(40), 201) | {40: None, 41: 2}
