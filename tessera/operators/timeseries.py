@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,28 +47,44 @@ def series_scan(df: DataFrame, start: int | None = None, end: int | None = None,
 
 AGGREGATES = {
     "count": lambda v, t: F.count(v), "sum": lambda v, t: F.sum(v), "min": lambda v, t: F.min(v), "max": lambda v, t: F.max(v), "avg": lambda v, t: exact_avg(v), "mean": lambda v, t: exact_avg(v),
-    "first": lambda v, t: F.min_by(v, t), "last": lambda v, t: F.max_by(v, t), "count_distinct": lambda v, t: F.approx_count_distinct(v), "percentile": lambda v, t: F.percentile_approx(v, 0.5),
+    "first": lambda v, t: F.min_by(v, t), "last": lambda v, t: F.max_by(v, t), "count_distinct": lambda v, t: F.approx_count_distinct(v),
     "topk": lambda v, t: F.least(F.count_distinct(v), F.lit(10)), "stddev": lambda v, t: F.when(F.count(v) >= 2, F.stddev_pop(v)),
 }
 
 
 def aggregate_of(name: str, value: Column, ts: Column) -> Column:
-    """An aggregate by name; 'percentile(0.9)' and 'topk(5)' take an argument, an unknown one is null.
-
-    percentile: a value of the samples (approximate beyond 10,000 different ones); topk: how many different values are tracked, at most k.
-    """
-    m = re.fullmatch(r"(percentile|topk)\(([0-9.]+)\)", name)
-    if m and m[1] == "percentile":
-        return F.percentile_approx(value, float(m[2]))
-    if m:
-        return F.least(F.count_distinct(value), F.lit(int(m[2])))
+    """An aggregate by name; 'topk(5)' takes an argument, an unknown one is null. topk: how many different values are tracked, at most k."""
+    if m := re.fullmatch(r"topk\(([0-9.]+)\)", name):
+        return F.least(F.count_distinct(value), F.lit(int(m[1])))
     return AGGREGATES[name](value, ts) if name in AGGREGATES else F.lit(None).cast("double")
 
 
+def quantile_of(name: str) -> Decimal | None:
+    """0.9 of 'percentile(0.9)', a half of 'percentile', None of other aggregates."""
+    m = re.fullmatch(r"percentile(?:\(([0-9.]+)\))?", name)
+    if m and not 0 <= (q := Decimal(m[1] or "0.5")) <= 1:
+        raise ValueError(f"{name} is not between 0 and 1")
+    return q if m else None
+
+
+def _percentiles(samples: DataFrame, keys: Sequence[str], asked: dict[str, Decimal]) -> DataFrame:
+    """(keys..., one column for each percentile) of samples (keys..., _value): the least value that the share of samples doesn't exceed. Different values are counted, sorted and added up, which may spill."""
+    counts = samples.where("_value IS NOT NULL").groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = counts.select(*keys, "_value", F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_n").over(group).alias("_all"))
+    return upto.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(q)), F.col("_value"))).alias(name) for name, q in asked.items()])
+
+
 def bucketed(df: DataFrame, width: int, aggs: Sequence[str] = ("count", "sum", "min", "max"), by: Sequence[str] = (), ts: str = "ts", value: str = "value", having: Column | None = None) -> DataFrame:
-    """(bucket, by..., one column for each aggregate); unknown aggregates are null."""
-    cols = [aggregate_of(a, F.col(value), F.col(ts)).alias(a) for a in aggs]
-    out = df.groupBy(bucket_of(F.col(ts), width).alias("bucket"), *by).agg(*cols)
+    """(bucket, by..., one column for each aggregate); unknown aggregates are null, percentiles are values of the samples."""
+    asked = {a: q for a in aggs if (q := quantile_of(a)) is not None}
+    start = bucket_of(F.col(ts), width).alias("bucket")
+    out = df.groupBy(start, *by).agg(*[aggregate_of(a, F.col(value), F.col(ts)).alias(a) for a in aggs if a not in asked] or [F.lit(None).alias("_none")])
+    if asked:
+        keys = ["bucket", *by]
+        own = _percentiles(df.select(start, *by, F.col(value).alias("_value")), keys, asked).withColumnsRenamed({k: f"_{i}" for i, k in enumerate(keys)})
+        same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+        out = out.join(own, same, "left").select(*keys, *[F.col(f"`{a}`") for a in aggs])
     return out if having is None else out.where(having)
 
 

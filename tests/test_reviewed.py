@@ -87,3 +87,14 @@ def test_score_of_a_player_does_not_depend_on_the_order_of_events(spark):
     df = spark.createDataFrame(events, "user_id long, value double").withColumn("ts", F.lit("2024-01-30").cast("timestamp_ntz")).coalesce(1)
     got = {r.key: r.score for r in state_queries.players(SimpleNamespace(events=df)).collect()}
     assert got == dict.fromkeys(range(40), 201) | {40: None, 41: 2}
+
+
+def test_percentiles_of_many_different_values_are_exact(spark):
+    df = spark.range(90_000).select("id", F.lit(5).alias("ts"), F.pmod(F.col("id") * 7919, F.lit(90_000)).cast("double").alias("value"), F.when(F.col("id") % 2 == 0, "even").alias("kind"))
+    whole = timeseries.bucketed(df, 1000, ["percentile(0.9)", "count", "percentile"]).first()
+    assert tuple(whole) == (0, 80_999.0, 90_000, 44_999.0)
+    odd = df.where("id < 4").withColumn("value", F.when(F.col("id") != 2, F.col("id").cast("double"))).union(spark.createDataFrame([(9, 5, None, "none")], "id long, ts int, value double, kind string"))
+    got = {r.kind: r.p for r in timeseries.bucketed(odd, 1000, ["percentile(0.9)"], ["kind"]).withColumnRenamed("percentile(0.9)", "p").collect()}
+    assert got == {"even": 0.0, None: 3.0, "none": None}
+    with pytest.raises(ValueError):
+        timeseries.bucketed(df, 1000, ["percentile(90)"])
