@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.expressions import vector, vector_distance
+from tessera.session import cut
 
 K1, B = 1.2, 0.75
 WORD = "[^\\p{L}\\p{N}]+"
@@ -70,6 +71,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
 
 
+def spaced(text: Column) -> Column:
+    """The words of words() in one string, with a space before, between and after them: counted and found there without arrays."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), WORD, " ")
+
+
+def _occurrences(text: Column, part: str) -> Column:
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())).cast("int")
+
+
+def _tally(text: str, terms: Sequence[str]) -> list[Column]:
+    """`length` and `tf` of a column with a spaced() text: its words, and how often each term is among them."""
+    apart = F.replace(F.col(text), F.lit(" "), F.lit("  "))  # else two words in a row would share a space
+    return [(_occurrences(F.col(text), " ") - 1).alias("length"), F.array(*[_occurrences(apart, f" {t} ") for t in terms]).alias("tf")]
+
+
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, length) of every document."""
     own = df.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
@@ -92,18 +108,14 @@ def asked_terms(query: str, synonyms: Sequence[Sequence[str]] = ()) -> list[str]
     return expanded([w for w in re.split(r"[^\w]+|_", query) if w], synonyms)
 
 
-def _close(word: Column, term: str, fuzzy: int) -> Column:
-    return F.levenshtein(word, F.lit(term)) <= fuzzy if fuzzy else word == term
-
-
-def _counts(terms: Sequence[str], fuzzy: int = 0) -> Column:
+def _counts(terms: Sequence[str], fuzzy: int) -> Column:
     """How often each term occurs among the words `w`."""
-    one = lambda term: F.size(F.filter("w", lambda x: _close(x, term, fuzzy)))
+    one = lambda term: F.size(F.filter("w", lambda x: F.levenshtein(x, F.lit(term)) <= fuzzy))
     return F.array(*map(one, terms))
 
 
-def _scores(x: DataFrame, terms: Sequence[str], mode: str) -> DataFrame:
-    """(id, score) of rows (id, admitted, length, tf: how often each of `terms` occurs); one pass gives the statistics, another the scores."""
+def _scores(x: DataFrame, terms: Sequence[str], mode: str, *keep: str) -> DataFrame:
+    """(id, score, those of `keep`) of rows (id, admitted, length, tf: how often each of `terms` occurs); one pass gives the statistics, another the scores."""
     tf = [F.get("tf", F.lit(i)) for i in range(len(terms))]
     known = x.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(t > 0).alias(f"d{i}") for i, t in enumerate(tf)]).first()
     total = F.lit(0.0)
@@ -112,7 +124,7 @@ def _scores(x: DataFrame, terms: Sequence[str], mode: str) -> DataFrame:
         total = total + F.when(t > 0, idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / F.lit(known.average or 1.0)))).otherwise(0.0)
     met = F.col("tf")
     enough = F.forall(met, lambda t: t > 0) if mode == "and" else F.exists(met, lambda t: t > 0)
-    return x.where(F.col("admitted") & enough).select("id", total.alias("score"))
+    return x.where(F.col("admitted") & enough).select("id", total.alias("score"), *keep)
 
 
 def bm25(df: DataFrame, query: str, id_col: str = "id", text_col: str = "text", mode: str = "or", admitted: Column | None = None, synonyms: Sequence[Sequence[str]] = (), fuzzy: int = 0) -> DataFrame:
@@ -122,11 +134,12 @@ def bm25(df: DataFrame, query: str, id_col: str = "id", text_col: str = "text",
     moved; for many queries over the same texts keep a text index (`textindex`).
     """
     terms = asked_terms(query, synonyms)
-    own = df.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), (F.lit(True) if admitted is None else F.coalesce(admitted, F.lit(False))).alias("admitted"))
+    text = words(F.coalesce(F.col(text_col), F.lit(""))) if fuzzy else spaced(F.col(text_col))
+    own = df.select(F.col(id_col).alias("id"), text.alias("w"), (F.lit(True) if admitted is None else F.coalesce(admitted, F.lit(False))).alias("admitted"))
     if not terms:
         return own.where("false").select("id", F.lit(0.0).alias("score"))
-    tf = _counts(terms, fuzzy)
-    return _scores(own.select("id", "admitted", F.size("w").alias("length"), tf.alias("tf")), terms, mode)
+    tally = [F.size("w").alias("length"), _counts(terms, fuzzy).alias("tf")] if fuzzy else _tally("w", terms)
+    return _scores(own.select("id", "admitted", *tally), terms, mode)
 
 
 def bm25_top_k(df: DataFrame, query: str, k: int, **options) -> DataFrame:
@@ -146,19 +159,11 @@ def phrase(df: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     inorder = [w for w in re.split(r"[^\w]+|_", query.lower()) if w]
     if not asked:
         return df.sparkSession.createDataFrame([], f"id {df.schema[id_col].dataType.simpleString()}, score double, position int")
-    own = df.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-
-    def here(word: Column, i: Column) -> Column:
-        out = word == inorder[0]
-        for j, a in enumerate(inorder[1:], 1):
-            out = out & (F.get("w", i + j) == a)
-        return F.when(out, i)
-
-    tf = _counts(asked)
-    counted = own.select("id", F.lit(True).alias("admitted"), F.size("w").alias("length"), tf.alias("tf"), F.get(F.array_compact(F.transform("w", here)), F.lit(0)).alias("position"))
-    found = counted.where(F.col("position").isNotNull()).select("id", "position")
-    scored = found.join(_scores(counted.drop("position"), asked, "and"), "id")
-    return scored.select("id", (F.col("score") / (1 + 0.01 * F.col("position"))).alias("score"), "position")
+    text = df.select(F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("w"))
+    said = f" {' '.join(inorder)} "
+    at = F.when(F.col("w").contains(said), _occurrences(F.substring_index("w", said, 1), " "))
+    counted = cut(text.select("id", *_tally("w", asked), at.alias("position")).withColumn("admitted", F.col("position").isNotNull()))  # read again without the texts
+    return _scores(counted, asked, "and", "position").select("id", (F.col("score") / (1 + 0.01 * F.col("position"))).alias("score"), "position")
 
 
 def score_to_distance(score: Column) -> Column:

@@ -1,12 +1,13 @@
 """What a review found in the queries beside the corpus operators."""
 
 import random
+import re
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import breadth, graph, timeseries
+from tessera.operators import breadth, graph, search, timeseries
 from tessera.plans import state_queries
 
 
@@ -98,3 +99,16 @@ def test_percentiles_of_many_different_values_are_exact(spark):
     assert got == {"even": 0.0, None: 3.0, "none": None}
     with pytest.raises(ValueError):
         timeseries.bucketed(df, 1000, ["percentile(90)"])
+
+
+def test_phrases_and_counts_of_odd_texts(spark):
+    texts = ["of the", "of of the the", "often of, THE; of the", "xof the ofthe of thex", None, "", "...", " of\tthe ", "d\u00e9j\u00e0 of\u2014the 42 of the", "the of", "of the of the of the"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "of the end")], "id long, text string")
+    words = [[w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for t in [*texts, "of the end"]]
+    at = [next((i for i, p in enumerate(zip(w, w[1:], strict=False)) if p == ("of", "the")), None) for w in words]
+    want = sorted((i, p) for i, p in zip([*range(len(texts)), 0], at, strict=True) if p is not None)
+    assert sorted((r.id, r.position) for r in search.phrase(docs, "of the").collect()) == want  # each row once, also where an id is there twice
+    got = docs.select(search.spaced(F.col("text")).alias("w")).select(*search._tally("w", ["of", "the"])).collect()
+    assert sorted((r.length, *r.tf) for r in got) == sorted((len(w), w.count("of"), w.count("the")) for w in words)
+    scores = sorted(search.bm25(docs, "of the").collect())
+    assert [r.id for r in scores] == sorted(i for i, w in zip([*range(len(texts)), 0], words, strict=True) if {"of", "the"} & {*w})
